@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import simhash_dedup
+from tidelog.llm import quality, simhash_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +15,9 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.op3_query(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_simhash_dedup": op3_simhash_dedup}
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op4_query(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_simhash_dedup": op3_simhash_dedup, "op4_quality_rules": op4_quality_rules}
 ORACLES: dict[str, str] = {}
