@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import quality, simhash_dedup
+from tidelog.llm import lm_score, quality, simhash_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,5 +19,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op4_query(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_simhash_dedup": op3_simhash_dedup, "op4_quality_rules": op4_quality_rules}
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.op9_query(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_quality_rules": op4_quality_rules,
+    "op9_lm_scoring": op9_lm_scoring,
+}
 ORACLES: dict[str, str] = {}
