@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import lm_score, quality, simhash_dedup
+from tidelog.llm import lm_score, quality, simhash_dedup, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,19 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.op9_query(_table(spark, sf_dir, "documents"))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.op5_query(_table(spark, sf_dir, "pages"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op10_query(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_url_filters": op5_url_filters,
     "op9_lm_scoring": op9_lm_scoring,
+    "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = {}
