@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import lm_score, quality, simhash_dedup, url_filter, warc
+from tidelog.llm import lm_score, quality, secrets, simhash_dedup, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +31,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op10_query(_table(spark, sf_dir, "pages"))
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op6_query(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filters": op5_url_filters,
+    "op6_secret_scans": op6_secret_scans,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_warc": op10_warc,
 }
