@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import lm_score, quality, secrets, simhash_dedup, url_filter, warc
+from tidelog.llm import language_id, lm_score, quality, secrets, simhash_dedup, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +35,12 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op6_query(_table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.op2_query(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filters": op5_url_filters,
