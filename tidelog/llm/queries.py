@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import language_id, lm_score, quality, secrets, simhash_dedup, url_filter, warc
+from tidelog.llm import byte_bpe, language_id, lm_score, quality, secrets, simhash_dedup, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +40,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.op2_query(_table(spark, sf_dir, "documents"))
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.op1_query(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op2_language_id": op2_language_id,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_quality_rules": op4_quality_rules,
