@@ -26,13 +26,13 @@ SLICE_BYTES = 4 << 20
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, held_out) -> DataFrame:
-    """``id, held_out, text, block``; a block is a part of a file, so that it is the same in every pass."""
+    """``id, held_out, text, block``; a block is half of a file's part, by hash, and so the same in every pass."""
     rows = lambda d: (F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    at = F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("block")
+    at = lambda text: F.xxhash64("_metadata.file_path", "_metadata.file_block_start", F.pmod(F.xxhash64(text), F.lit(2))).alias("block")
     try:
-        return docs.select(*rows(docs), at)
+        return docs.select(*rows(docs), at(text_col))
     except AnalysisException:  # not the rows of files
-        return materialize(docs.select(*rows(docs)), "blocks").select("id", "held_out", "text", at)
+        return materialize(docs.select(*rows(docs)), "blocks").select("id", "held_out", "text", at("text"))
 
 
 def _symbols(texts: list[bytes], of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
