@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import byte_bpe, language_id, lm_score, quality, secrets, simhash_dedup, url_filter, warc
+from tidelog.llm import byte_bpe, language_id, line_dedup, lm_score, quality, secrets, simhash_dedup, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.op1_query(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.op7_query(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_language_id": op2_language_id,
@@ -51,6 +55,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filters": op5_url_filters,
     "op6_secret_scans": op6_secret_scans,
+    "op7_line_dedup": op7_line_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_warc": op10_warc,
 }
