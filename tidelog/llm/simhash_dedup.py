@@ -44,14 +44,15 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``(id, fp)`` of every row; fp is the fingerprint as a signed long."""
+    """``id, mark, fp`` of every row; fp is the fingerprint as a signed long, mark a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, width) for t in binary(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+            fps = np.array([fingerprint(t, width) for t in binary(b.column(2))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["id", "mark", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "id long, mark long, fp long")
 
 
 def _syndromes() -> np.ndarray:
@@ -138,7 +139,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """One row per document: ``id``, ``fp`` (signed long), ``component_id``.
+    """One row per document: ``id``, ``mark`` (a hash of the text), ``fp`` (signed long), ``component_id``.
 
     component_id is the smallest id reachable over fingerprints that differ in two bits at most. Null
     and word-less texts have fingerprint 0, which links like any other. Null ids are kept and are no candidates
@@ -152,7 +153,28 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     part = materialize(part, "parts")
     least = part.groupBy("root").agg(F.min("low").alias("component_id"))
     named = part.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("id", "fp", "component_id")
+    return marked.join(named, "fp").select("id", "mark", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """One document of every group, that of the smallest id, with all its columns.
+
+    Two of 64 bits are an angle whose cosine is 0.995, so what is linked is far above a similarity of 0.8. Of
+    rows equal in that id, that of the smallest text hash stays; of wholly equal ones, one. Rows without an id
+    stay only if their group has no id at all, one of them.
+    """
+    groups = materialize(simhash_groups(docs, id_col, text_col, width), "groups")
+    chosen = groups.where(F.col("id").eqNullSafe(F.col("component_id")))
+    first = chosen.groupBy("fp", "id", "mark").agg(F.count("*").alias("n"))
+    first = first.groupBy("id").agg(F.min("mark").alias("mark"), F.sum("n").alias("n")).where("id is not null").unionByName(first.where("id is null").groupBy("fp").agg(F.min("mark").alias("mark"), F.sum("n").alias("n")).select(F.lit(None).cast("long").alias("id"), "mark", "n"))
+    first = materialize(first.select(F.col("id").alias("__k_id"), F.col("mark").alias("__k_mark"), F.col("n").alias("__k_n")), "first")
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__k_id")) & (F.xxhash64(text_col) == F.col("__k_mark"))
+    kept = docs.join(first, same)
+    plain = [F.col(f"`{c}`") for c in docs.columns]
+    if first.where("__k_n > 1").isEmpty():
+        return kept.select(*plain)
+    twice = kept.where("__k_n > 1").dropDuplicates(["__k_id", "__k_mark"])
+    return kept.where("__k_n = 1").select(*plain).unionByName(twice.select(*plain))
 
 
 def op3_query(docs: DataFrame) -> DataFrame:
