@@ -20,11 +20,15 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import binary, slices
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 20
+#: Ids that one decoding query takes, or one text's.
+DECODED_IDS = 400_000
 #: Words whose ids a Python worker keeps for later texts; beyond it, all are forgotten and found anew.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 400_000
 #: Rounds of a recursive query; words that aren't done go into another one, so its rows stay few.
 ROUNDS = 48
+#: Bytes of new words in one recursive query, so that its rows and hash tables fit the engine's memory; a longer word has one to itself.
+QUERY_BYTES = 192 << 10
 
 #: Longest word, in bytes, whose runs of equal pairs are contracted one pair a round.
 SHORT = 96
@@ -93,7 +97,7 @@ class Coder:
         self.rank = {t: i for i, t in enumerate(tokens)}
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
         merges = [(self.rank[t[:k]], self.rank[t[k:]], r) for t, r in self.rank.items() for k in range(1, len(t)) if t[:k] in self.rank and t[k:] in self.rank]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         a, b, r = (np.array(x, np.int32) for x in zip(*merges, strict=True)) if merges else (np.empty(0, np.int32),) * 3
         self.table("merges", a=a, b=b, r=r)
         for name, tok, byte in (("ahead", b, [tokens[x][-1] for x in a.tolist()]), ("behind", a, [tokens[x][0] for x in b.tolist()])):
@@ -136,8 +140,15 @@ class Coder:
             return
         for long in (False, True):
             some = [(w, x) for w, x in rest if (len(x) > SHORT) is long]
-            if some:
-                self._keep([w for w, _ in some], *self._contract([x for _, x in some], RUNS if long else SINGLE))
+            start = 0
+            while start < len(some):
+                stop, size = start, 0
+                while stop < len(some) and (stop == start or size + len(some[stop][1]) <= QUERY_BYTES):
+                    size += len(some[stop][1])
+                    stop += 1
+                part = some[start:stop]
+                self._keep([w for w, _ in part], *self._contract([x for _, x in part], RUNS if long else SINGLE))
+                start = stop
 
     def _contract(self, words: list[bytes], chosen: str) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all words, one after another, and how many each has."""
@@ -192,8 +203,25 @@ def _coder(tokens: tuple[bytes, ...], pattern: str) -> Coder:
     return Coder(tokens, pattern)
 
 
-def encode(docs: DataFrame, tokens: list[bytes], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, ids``: the token ids of each whole text; a null text is empty.
+def _parts(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Runs of rows of about ``most`` ids in all, one row at least."""
+    start = 0
+    while start < len(sizes):
+        stop, size = start, 0
+        while stop < len(sizes) and (stop == start or size + sizes[stop] <= most):
+            size += sizes[stop]
+            stop += 1
+        yield slice(start, stop)
+        start = stop
+
+
+def _decoded(coder: Coder, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return pa.array([x for part in _parts(sizes, DECODED_IDS) for x in coder.decode(ids[ends[part.start] : ends[part.stop]], sizes[part])], pa.binary())
+
+
+def encode(docs: DataFrame, tokens: list[bytes], pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """``id, ids``: the token ids of each whole text; a null text is empty. With ``decoded``, also ``bytes``, decoded from the ids by the same workers.
 
     Matches of ``pattern`` are encoded separately, without special tokens; text between matches is left out.
     Repeated rows are repeated. Texts are coded in slices of about SLICE_BYTES, a longer text in one.
@@ -206,9 +234,11 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, id_col: str = "do
             for part in slices(b, "text", SLICE_BYTES):
                 ids, counts = coder.encode([t or "" for t in part.column("text").to_pylist()])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), lists], ["id", "ids"])
+                columns = {"id": part.column("id"), "ids": lists} | ({"bytes": _decoded(coder, ids, counts)} if decoded else {})
+                yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, ids array<int>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "id long, ids array<int>" + ", bytes binary" * decoded)
 
 
 def decode(encoded: DataFrame, tokens: list[bytes], pattern: str) -> DataFrame:
@@ -218,23 +248,14 @@ def decode(encoded: DataFrame, tokens: list[bytes], pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value, pattern)
         for b in batches:
-            start = 0
             sizes = b.column("ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            while start < b.num_rows:
-                stop, size = start, 0
-                while stop < b.num_rows and (stop == start or size + sizes[stop] <= SLICE_BYTES // 4):
-                    size += sizes[stop]
-                    stop += 1
-                part = b.slice(start, stop - start)
-                own = part.column("ids").flatten().to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("ids"), pa.array(coder.decode(own, sizes[start:stop]), pa.binary())], ["id", "ids", "bytes"])
-                start = stop
+            own = b.column("ids").flatten().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("ids"), _decoded(coder, own, sizes)], ["id", "ids", "bytes"])
 
     return encoded.select("id", "ids").mapInArrow(run, "id long, ids array<int>, bytes binary")
 
 
 def op1_query(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    tokens = read_ranks(path)
-    coded = decode(encode(docs, tokens, pattern), tokens, pattern)
+    coded = encode(docs, read_ranks(path), pattern, decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(ids, "UTF-8"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
