@@ -1,6 +1,667 @@
-"""The named queries over the reference tables, each with its DuckDB oracle."""
+"""The named queries over the driver's tables, each with its DuckDB oracle.
+
+``QUERIES[name](spark, sf_dir)`` gives a DataFrame; ``ORACLES[name]`` is SQL with the same columns.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.functions import hashing, partitioning, sketches
+from tidelog.operators import consensus, log, merkle, mergeable, replication, segments, sstable, txn
+from tidelog.plans.hash_sql import fnv, murmur, xx
+from tidelog.sources import serde
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+C = F.col
+
+
+def query(sql: str | None = None) -> Callable:
+    def register(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Relations that many queries share, in both languages.
+
+
+def event_log(spark: SparkSession, d: str) -> DataFrame:
+    return log.change_log(table(spark, d, "events"), C("user_id"), C("props"), C("event_id"), C("event_type") == "error")
+
+
+LG = "lg AS (SELECT user_id AS key, CASE WHEN event_type = 'error' THEN NULL ELSE props END AS value, event_id AS seq, CASE WHEN event_type = 'error' THEN 'del' ELSE 'put' END AS op FROM events WHERE user_id IS NOT NULL)"
+LAST = "last AS (SELECT key, arg_max(struct_pack(v := value), seq).v AS value, max(seq) AS seq, arg_max(op, seq) AS op FROM lg GROUP BY key)"
+
+
+def event_segments(spark: SparkSession, d: str) -> DataFrame:
+    return event_log(spark, d).withColumn("segment_id", F.floor(C("seq") / 1000).cast("long"))
+
+
+SG = LG + ", sg AS (SELECT *, seq // 1000 AS segment_id FROM lg)"
+
+
+def order_log(spark: SparkSession, d: str) -> DataFrame:
+    return log.puts(table(spark, d, "orders"), C("o_orderkey"), C("o_orderpriority"), C("o_orderkey"))
+
+
+def transactions(spark: SparkSession, d: str) -> DataFrame:
+    """Two transactions of ten events each run at a time; the first event begins, the last commits or aborts."""
+    place = F.floor(C("event_id") % 20 / 2)
+    op = F.when(place == 0, "begin").when((place == 9) & (C("user_id") % 7 == 0), "abort").when(place == 9, "commit").when(C("event_type") == "view", "read").otherwise("write")
+    return table(spark, d, "events").select(C("event_id").alias("seq"), (F.floor(C("event_id") / 20) * 2 + C("event_id") % 2).cast("long").alias("txn"), op.alias("op"), (C("user_id") % 20).alias("key"), C("props").alias("value"), (C("event_id") % 2000 * 0 + F.floor(C("event_id") / 2000)).cast("long").alias("store"))
+
+
+TX = """tx AS (SELECT event_id AS seq, (event_id // 20) * 2 + event_id % 2 AS txn, CASE WHEN event_id % 20 // 2 = 0 THEN 'begin' WHEN event_id % 20 // 2 = 9 AND user_id % 7 = 0 THEN 'abort'
+  WHEN event_id % 20 // 2 = 9 THEN 'commit' WHEN event_type = 'view' THEN 'read' ELSE 'write' END AS op, user_id % 20 AS key, props AS value FROM events),
+st AS (SELECT txn, min(CASE WHEN op = 'begin' THEN seq END) AS begin_seq, min(CASE WHEN op IN ('commit', 'abort') THEN seq END) AS end_seq,
+  coalesce(CASE arg_min(op, CASE WHEN op IN ('commit', 'abort') THEN seq END) WHEN 'commit' THEN 'committed' WHEN 'abort' THEN 'aborted' END, 'active') AS state FROM tx GROUP BY txn)"""
+
+
+def cells(spark: SparkSession, d: str) -> DataFrame:
+    """Three replicas, each of which missed a quarter of the writes."""
+    names = F.explode(F.array(*(F.struct(F.lit(f"replica-{i}").alias("replica"), F.lit(i).alias("i")) for i in range(3))))
+    rows = table(spark, d, "events").select(C("user_id").alias("key"), C("props").alias("value"), C("event_id").alias("version"), names.alias("r"))
+    return rows.where((C("version") % 4) != C("r.i")).select("r.replica", "key", "value", "version")
+
+
+CELLS = "cells AS (SELECT 'replica-' || i AS replica, user_id AS key, props AS value, event_id AS version FROM events, range(3) t(i) WHERE event_id % 4 <> i)"
+
+
+def nodes(spark: SparkSession, n: int) -> DataFrame:
+    return spark.range(n).select(F.concat(F.lit("node-"), C("id").cast("string")).alias("node"), C("id").alias("ord"))
+
+
+# Key-value reads.
+
+
+@query(f"WITH {LG}, {LAST} SELECT key, value, seq FROM last WHERE op = 'put'")
+def kv_latest_scan(spark, d):
+    return log.live(event_log(spark, d))
+
+
+@query(f"WITH {LG} SELECT key, value, seq, op FROM lg")
+def kv_log_scan(spark, d):
+    return event_log(spark, d).orderBy("seq")
+
+
+@query(f"WITH {LG}, {LAST} SELECT key, value, seq FROM last WHERE op = 'put' AND key = 42")
+def kv_point_get(spark, d):
+    return log.get(event_log(spark, d), 42)
+
+
+@query(f"WITH {LG}, {LAST} SELECT k.key, value, seq IS NOT NULL AS found FROM (SELECT range AS key FROM range(0, 300, 7)) k LEFT JOIN (SELECT * FROM last WHERE op = 'put') USING (key)")
+def kv_multi_get(spark, d):
+    return log.multi_get(event_log(spark, d), spark.range(0, 300, 7).select(C("id").alias("key")))
+
+
+@query("SELECT c_custkey AS key, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def kv_contains(spark, d):
+    held = log.puts(table(spark, d, "orders"), C("o_custkey"), C("o_orderstatus"), C("o_orderkey"))
+    return log.contains(table(spark, d, "customer").select(C("c_custkey").alias("key"), "c_name"), held)
+
+
+@query("SELECT c_custkey AS key, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def kv_missing(spark, d):
+    held = log.puts(table(spark, d, "orders"), C("o_custkey"), C("o_orderstatus"), C("o_orderkey"))
+    return log.missing(table(spark, d, "customer").select(C("c_custkey").alias("key"), "c_name"), held)
+
+
+@query(f"WITH {LG}, {LAST} SELECT key, value, seq FROM last WHERE op = 'put' AND key BETWEEN 10 AND 20")
+def kv_range_scan(spark, d):
+    return log.scan_range(event_log(spark, d), 10, 20)
+
+
+@query(f"WITH {LG}, {LAST} SELECT key, op = 'del' AS deleted FROM last")
+def kv_delete_live(spark, d):
+    return log.latest(event_log(spark, d)).select("key", (C("op") == "del").alias("deleted"))
+
+
+@query(f"WITH lg0 AS (SELECT * FROM (WITH {LG} SELECT * FROM lg)), lg AS (SELECT * FROM lg0 UNION ALL SELECT c_custkey, c_mktsegment, 1000000 + c_custkey, 'put' FROM customer WHERE c_custkey % 3 = 0), {LAST} SELECT key, value, seq FROM last WHERE op = 'put'")
+def kv_bulk_put_overwrite(spark, d):
+    later = log.puts(table(spark, d, "customer").where("c_custkey % 3 = 0"), C("c_custkey"), C("c_mktsegment"), C("c_custkey") + 1_000_000)
+    return log.live(log.append(event_log(spark, d), later))
+
+
+@query(f"WITH lg0 AS (SELECT * FROM (WITH {LG} SELECT * FROM lg)), lg AS (SELECT * FROM lg0 WHERE seq > 500), {LAST} SELECT key, value, seq FROM last WHERE op = 'put'")
+def kv_clear_then_put(spark, d):
+    return log.after_clear(event_log(spark, d), 500)
+
+
+# Segments.
+
+
+@query("SELECT o_orderkey AS key, o_orderkey AS seq, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS segment_id FROM orders")
+def lsm_flush_segments(spark, d):
+    return segments.flush(order_log(spark, d), 1000).select("key", "seq", "segment_id")
+
+
+@query()
+def lsm_flush_exact(spark, d):
+    return segments.flush_exact(event_log(spark, d).withColumn("store", C("key") % 8), 5)
+
+
+@query(f"WITH {SG} SELECT segment_id, count(*) AS n_rows, count(DISTINCT key) AS n_keys, min(key) AS min_key, max(key) AS max_key FROM sg GROUP BY segment_id")
+def lsm_segment_catalog(spark, d):
+    return segments.catalog(event_segments(spark, d))
+
+
+@query(f"WITH {SG}, c AS (SELECT segment_id, min(key) AS a, max(key) AS b FROM sg GROUP BY segment_id) SELECT key, count(*) AS n_segments FROM (SELECT DISTINCT key FROM sg) JOIN c ON key BETWEEN a AND b GROUP BY key")
+def lsm_read_amplification(spark, d):
+    return segments.read_amplification(event_segments(spark, d))
+
+
+def _compacted(spark, d, strategy):
+    own = event_segments(spark, d)
+    ids = [r["segment_id"] for r in own.select("segment_id").distinct().collect()]  # a number for each segment
+    return segments.compact(own, strategy.select(ids)).select("key", "value", "seq", "op", "segment_id")
+
+
+def _compact_sql(chosen: str) -> str:
+    return f"""WITH {SG}, ids AS (SELECT DISTINCT segment_id FROM sg), chosen AS ({chosen}),
+    lg2 AS (SELECT * FROM sg WHERE segment_id IN (SELECT segment_id FROM chosen)),
+    m AS (SELECT key, arg_max(struct_pack(v := value), seq).v AS value, max(seq) AS seq, arg_max(op, seq) AS op, (SELECT max(segment_id) FROM chosen) AS segment_id FROM lg2 GROUP BY key)
+    SELECT key, value, seq, op, segment_id FROM m WHERE op = 'put' UNION ALL SELECT key, value, seq, op, segment_id FROM sg WHERE segment_id NOT IN (SELECT segment_id FROM chosen)"""
+
+
+@query(_compact_sql("SELECT segment_id FROM ids"))
+def lsm_compact_full(spark, d):
+    return _compacted(spark, d, segments.Full(2))
+
+
+@query(_compact_sql("SELECT segment_id FROM ids"))
+def lsm_compact_size_tiered(spark, d):
+    return _compacted(spark, d, segments.SizeTiered(4))
+
+
+@query(_compact_sql("SELECT segment_id FROM ids ORDER BY segment_id LIMIT 4"))
+def lsm_compact_leveled(spark, d):
+    return _compacted(spark, d, segments.Leveled(4))
+
+
+@query(f"WITH {LG}, {LAST} SELECT key, seq FROM last WHERE op = 'del'")
+def lsm_tombstone_strip(spark, d):
+    """The keys whose tombstones a full compaction drops."""
+    return log.latest(event_log(spark, d)).where("op = 'del'").select("key", "seq")
+
+
+@query("SELECT user_id AS key, arg_max(struct_pack(v := props), event_id).v AS value, min(event_id) AS first_seq FROM events GROUP BY user_id")
+def log_compact_first_order(spark, d):
+    return segments.compact_log(log.puts(table(spark, d, "events"), C("user_id"), C("props"), C("event_id")))
+
+
+@query()
+def log_roll_segments(spark, d):
+    own = table(spark, d, "documents").select(C("source").alias("store"), C("doc_id").alias("seq"), C("n_chars").alias("size"))
+    return segments.roll(own, 20_000)
+
+
+@query()
+def wal_recover(spark, d):
+    frames = segments.wal_frames(event_log(spark, d), F.concat_ws("|", C("key").cast("string"), "value"))
+    damaged = frames.withColumn("crc", F.when(C("seq") % 10 == 3, C("crc") + 1).otherwise(C("crc"))).withColumn("length", F.when(C("seq") == 9000, -1).otherwise(C("length")))
+    return segments.recover(damaged).select("seq", F.decode("payload", "UTF-8").alias("payload"))
+
+
+@query("SELECT o_orderkey AS key, CASE WHEN o_orderkey % 5 = 0 THEN 'replayed' ELSE o_orderpriority END AS value FROM orders")
+def wal_replay_merge(spark, d):
+    own = order_log(spark, d)
+    tail = own.where("key % 5 = 0").select("key", F.lit("replayed").alias("value"), (C("seq") + 10_000_000).alias("seq"), "op")
+    return log.live(log.append(own, tail)).select("key", "value")
+
+
+# Sorted tables and indexes.
+
+
+@query("SELECT pos, key FROM (SELECT event_id AS pos, user_id AS key, lag(user_id) OVER (ORDER BY event_id) AS before FROM events) WHERE key <= before")
+def sst_validate_sorted(spark, d):
+    return sstable.out_of_order(table(spark, d, "events").select(C("event_id").alias("pos"), C("user_id").alias("key")))
+
+
+SPARSE = "SELECT o_orderkey AS key, (sum(8 + length(o_orderpriority)) OVER (ORDER BY o_orderkey) - 8 - length(o_orderpriority))::BIGINT AS offset_, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders"
+
+
+def _sparse(spark, d):
+    return sstable.sparse_index(order_log(spark, d).select("key", "value"), "key", 8 + F.octet_length("value"), 4)
+
+
+@query(f'SELECT key, offset_ AS "offset" FROM ({SPARSE}) WHERE n % 4 = 0')
+def sst_sparse_index(spark, d):
+    return _sparse(spark, d).select("key", "offset")
+
+
+@query(f'WITH x AS (SELECT * FROM ({SPARSE}) WHERE n % 4 = 0), p AS (SELECT l_orderkey AS key, count(*) AS c FROM lineitem GROUP BY 1) SELECT p.key, x.key AS index_key, x.offset_ AS "offset" FROM p ASOF LEFT JOIN x ON p.key >= x.key')
+def sst_floor_lookup(spark, d):
+    return sstable.floor_lookup(table(spark, d, "lineitem").select(C("l_orderkey").alias("key")).distinct(), _sparse(spark, d).select("key", "offset"))
+
+
+@query("SELECT coalesce(a.c_custkey, b.c_custkey) AS key, CASE WHEN b.c_custkey IS NOT NULL THEN b.c_mktsegment ELSE a.c_name END AS value FROM (SELECT * FROM customer WHERE c_custkey % 3 <> 0) a FULL JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) b ON a.c_custkey = b.c_custkey")
+def sst_merge(spark, d):
+    c = table(spark, d, "customer")
+    return sstable.merge(c.where("c_custkey % 3 <> 0").select(C("c_custkey").alias("key"), C("c_name").alias("value")), c.where("c_custkey % 2 = 0").select(C("c_custkey").alias("key"), C("c_mktsegment").alias("value")))
+
+
+@query('SELECT doc_id AS key, (sum(8 + octet_length(encode(text))) OVER (ORDER BY doc_id) - 8 - octet_length(encode(text)))::BIGINT AS "offset", (8 + octet_length(encode(text)))::BIGINT AS "count" FROM documents')
+def idx_file_offsets(spark, d):
+    own = table(spark, d, "documents").select(C("doc_id").alias("key"), F.octet_length("text").alias("bytes"))
+    return sstable.offsets(own, "key", 8 + C("bytes")).select("key", "offset", C("size").alias("count"))
+
+
+@query("SELECT c_mktsegment AS index_key, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS keys FROM (SELECT DISTINCT c_mktsegment, c_custkey FROM customer WHERE c_mktsegment IS NOT NULL) GROUP BY 1")
+def idx_secondary_index(spark, d):
+    return sstable.secondary_index(table(spark, d, "customer"), C("c_mktsegment"), "c_custkey").select("index_key", F.array_join(C("keys").cast("array<string>"), ",").alias("keys"))
+
+
+@query("SELECT c_custkey AS key FROM customer WHERE c_mktsegment = 'BUILDING'")
+def idx_secondary_lookup(spark, d):
+    return sstable.secondary_lookup(table(spark, d, "customer"), C("c_mktsegment"), "BUILDING", "c_custkey")
+
+
+@query(f"WITH {LG}, {LAST} SELECT seq % 10 AS index_key, count(*) AS n_keys FROM last WHERE op = 'put' GROUP BY 1")
+def idx_secondary_remove(spark, d):
+    """Keys by an extracted value, after deletes took keys out of the index."""
+    return sstable.secondary_index(log.live(event_log(spark, d)), C("seq") % 10).select("index_key", F.size("keys").cast("long").alias("n_keys"))
+
+
+# Hashes and sketches.
+
+
+@query(f"SELECT c_custkey, hash FROM (SELECT *, {fnv('c_name', 'hash')} FROM customer)")
+def hash_fnv1a(spark, d):
+    return table(spark, d, "customer").select("c_custkey", hashing.fnv1a(C("c_name")).alias("hash"))
+
+
+@query(f"SELECT c_custkey, hash FROM ({murmur('SELECT * FROM customer', 'c_name', 'hash')})")
+def hash_murmur3(spark, d):
+    return table(spark, d, "customer").select("c_custkey", hashing.murmur3(C("c_name")).alias("hash"))
+
+
+@query(f"SELECT c_custkey, hash FROM ({xx('SELECT * FROM customer', 'c_name', 'hash')})")
+def hash_xxh32(spark, d):
+    return table(spark, d, "customer").select("c_custkey", hashing.xxhash32(C("c_name")).alias("hash"))
+
+
+@query()
+def hash_crc32(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.crc32("c_name").alias("hash"))
+
+
+BITS, HASHES = sketches.bloom_size(1000, 0.05)
+
+
+def _positions(source: str, item: str) -> str:
+    hashed = xx(murmur(source, item, "h1"), item, "h2")
+    return f"SELECT *, unnest(list_transform(range(0, {HASHES}), lambda i: ((h1 + i * h2) % 4294967296) % {BITS})) AS pos FROM ({hashed})"
+
+
+BUILT = "SELECT DISTINCT o_custkey::VARCHAR AS item FROM orders WHERE o_custkey % 5 = 0 AND o_custkey <= 5000"
+PROBED = "SELECT DISTINCT c_custkey::VARCHAR AS item FROM customer WHERE c_custkey <= 5000"
+
+
+def _bloom(spark, d):
+    built = table(spark, d, "orders").where("o_custkey % 5 = 0 and o_custkey <= 5000").select(C("o_custkey").cast("string").alias("item")).distinct()
+    probes = table(spark, d, "customer").where("c_custkey <= 5000").select(C("c_custkey").cast("string").alias("item"))
+    return built, sketches.bloom_probe(probes, "item", sketches.bloom_build(built, "item", BITS, HASHES), BITS, HASHES)
+
+
+BLOOM = f"WITH f AS (SELECT DISTINCT pos FROM ({_positions(BUILT, 'item')})), p AS ({_positions(PROBED, 'item')}), r AS (SELECT item, count(f.pos) = count(*) AS maybe FROM p LEFT JOIN f USING (pos) GROUP BY item)"
+
+
+@query(f"{BLOOM} SELECT item, maybe FROM r")
+def bloom_probe(spark, d):
+    return _bloom(spark, d)[1]
+
+
+@query(f"{BLOOM} SELECT count(*) AS n_absent, sum(maybe::INT)::BIGINT AS n_false FROM r WHERE item NOT IN (SELECT item FROM ({BUILT}))")
+def bloom_fpr(spark, d):
+    built, probed = _bloom(spark, d)
+    return probed.join(built, "item", "left_anti").agg(F.count("*").alias("n_absent"), F.sum(C("maybe").cast("int")).alias("n_false"))
+
+
+CHANGES = "SELECT user_id::VARCHAR AS item, sum(CASE WHEN event_type = 'purchase' THEN {gone} ELSE 1 END) AS d FROM events GROUP BY 1"
+
+
+def _cbloom(gone: int) -> str:
+    return f"WITH c AS ({CHANGES.format(gone=gone)}), f AS (SELECT pos, greatest(sum(d), 0)::BIGINT AS n FROM ({_positions('SELECT * FROM c', 'item')}) GROUP BY pos), p AS ({_positions('SELECT DISTINCT c_custkey::VARCHAR AS item FROM customer', 'item')}) SELECT item, min(coalesce(n, 0)) AS n FROM p LEFT JOIN f USING (pos) GROUP BY item"
+
+
+def _counting(spark, d, gone):
+    changes = table(spark, d, "events").select(C("user_id").cast("string").alias("item"), F.when(C("event_type") == "purchase", gone).otherwise(1).alias("delta"))
+    return sketches.counting_count(table(spark, d, "customer").select(C("c_custkey").cast("string").alias("item")), "item", sketches.counting_build(changes, "item", "delta", BITS, HASHES), BITS, HASHES)
+
+
+@query(_cbloom(1))
+def cbloom_count(spark, d):
+    return _counting(spark, d, 1)
+
+
+@query(_cbloom(-1))
+def cbloom_remove(spark, d):
+    return _counting(spark, d, -1)
+
+
+def _merkle_sql(levels: int, blocks: str) -> str:
+    """Levels above the leaves as nested CTEs; a level above the root repeats nothing, as its only pair is the root and padding."""
+    pads = merkle.pad_hashes(levels)
+    out = [f"l0 AS (SELECT row_number() OVER (ORDER BY k) - 1 AS pos, sha256(b) AS hash FROM ({blocks}))"]
+    for i in range(1, levels + 1):
+        out.append(f"l{i} AS (SELECT pos // 2 AS pos, sha256(unhex(max(CASE WHEN pos % 2 = 0 THEN hash END) || coalesce(max(CASE WHEN pos % 2 = 1 THEN hash END), '{pads[i - 1]}'))) AS hash FROM l{i - 1} GROUP BY pos // 2)")
+    return "WITH " + ", ".join(out)
+
+
+LEAVES = "SELECT n_nationkey AS k, encode(n_name) AS b FROM nation"
+
+
+def _merkle(spark, d):
+    return merkle.tree(merkle.leaves(table(spark, d, "nation"), "n_nationkey", "n_name"))
+
+
+@query(f"{_merkle_sql(5, LEAVES)} SELECT hash AS root FROM l5")
+def merkle_root(spark, d):
+    return merkle.root(_merkle(spark, d))
+
+
+@query(f"{_merkle_sql(5, LEAVES)} SELECT 0 AS level, hash AS sibling FROM l0 WHERE pos = 4 UNION ALL SELECT 1, hash FROM l1 WHERE pos = 3 UNION ALL SELECT 2, hash FROM l2 WHERE pos = 0 UNION ALL SELECT 3, hash FROM l3 WHERE pos = 1 UNION ALL SELECT 4, hash FROM l4 WHERE pos = 1")
+def merkle_proof(spark, d):
+    return merkle.proof(_merkle(spark, d), 5, 25)
+
+
+@query("SELECT pos FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id FROM documents) WHERE doc_id % 50 = 7")
+def merkle_diff(spark, d):
+    own = table(spark, d, "documents").select("doc_id", "text")
+    changed = own.withColumn("text", F.when(C("doc_id") % 50 == 7, F.concat("text", F.lit("!"))).otherwise(C("text")))
+    return merkle.diff(merkle.leaves(own, "doc_id", "text"), merkle.leaves(changed, "doc_id", "text"))
+
+
+# Partitioning.
+
+
+@query(f"SELECT part, sum(c)::BIGINT AS n FROM (SELECT hash % 8 AS part, c FROM ({murmur('SELECT l_orderkey::VARCHAR AS k, count(*) AS c FROM lineitem GROUP BY 1', 'k', 'hash')})) GROUP BY part")
+def part_hash(spark, d):
+    keys = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("c"))  # each key is hashed once
+    return keys.select(partitioning.hash_partition(C("l_orderkey"), 8).alias("part"), "c").groupBy("part").agg(F.sum("c").alias("n"))
+
+
+@query("SELECT part, count(*) AS n FROM (SELECT (o_orderkey >= 1000)::INT + (o_orderkey >= 5000)::INT + (o_orderkey >= 9000)::INT AS part FROM orders) GROUP BY part")
+def part_range(spark, d):
+    return table(spark, d, "orders").select(partitioning.range_partition(C("o_orderkey"), [1000, 5000, 9000]).alias("part")).groupBy("part").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, (c_custkey >= 100)::INT + (c_custkey >= 700)::INT AS first, (c_custkey + 300 >= 100)::INT + (c_custkey + 300 >= 700)::INT AS last FROM customer")
+def part_range_span(spark, d):
+    return table(spark, d, "customer").select("c_custkey", partitioning.range_span(C("c_custkey"), C("c_custkey") + 300, [100, 700]).alias("s")).select("c_custkey", "s.first", "s.last")
+
+
+def _ring_sql(n: int, p: str = "") -> str:
+    vnodes = f"SELECT 'node-' || o AS node, o AS ord, i, 'node-' || o || '#' || i AS vk FROM range({n}) a(o), range({partitioning.VNODES}) b(i)"
+    return f"ring{p} AS (SELECT h AS hash, arg_max(node, struct_pack(o := ord, i := i)) AS node FROM (SELECT *, CASE WHEN u >= 2147483648 THEN u::BIGINT - 4294967296 ELSE u::BIGINT END AS h FROM ({murmur(vnodes, 'vk', 'u')})) GROUP BY h)"
+
+
+KEYS = f"ks AS (SELECT key, CASE WHEN u >= 2147483648 THEN u::BIGINT - 4294967296 ELSE u::BIGINT END AS h FROM ({murmur('SELECT c_custkey AS key, c_custkey::VARCHAR AS ck FROM customer', 'ck', 'u')}))"
+
+
+def _owner(p: str = "") -> str:
+    return f"own{p} AS (SELECT key, coalesce(r.node, (SELECT arg_min(node, hash) FROM ring{p})) AS node FROM ks ASOF LEFT JOIN ring{p} r ON ks.h <= r.hash)"
+
+
+def _customer_keys(spark, d):
+    return table(spark, d, "customer").select(C("c_custkey").alias("key"))
+
+
+@query(f"WITH {_ring_sql(8)}, {KEYS}, {_owner()} SELECT key, node FROM own")
+def ring_lookup(spark, d):
+    return partitioning.ring_lookup(_customer_keys(spark, d), partitioning.ring(nodes(spark, 8)))
+
+
+@query(f"WITH {_ring_sql(8)}, {KEYS}, far AS (SELECT key, node, min((hash - h + 4294967296) % 4294967296) AS d FROM ks, ring GROUP BY key, node), r AS (SELECT key, node, row_number() OVER (PARTITION BY key ORDER BY d) AS k FROM far) SELECT key, k::INT AS k, node FROM r WHERE k <= 3")
+def ring_replicas(spark, d):
+    return partitioning.ring_replicas(_customer_keys(spark, d), partitioning.ring(nodes(spark, 8)), 3)
+
+
+@query(f"WITH {_ring_sql(8)}, {_ring_sql(9, '9')}, {KEYS}, {_owner()}, {_owner('9')} SELECT own9.node, count(*) AS n_moved FROM own JOIN own9 USING (key) WHERE own.node <> own9.node GROUP BY own9.node")
+def ring_rebalance(spark, d):
+    """Where keys move when a ninth node joins: to it alone."""
+    keys = _customer_keys(spark, d)
+    old, new = partitioning.ring_lookup(keys, partitioning.ring(nodes(spark, 8))), partitioning.ring_lookup(keys, partitioning.ring(nodes(spark, 9)))
+    return old.select("key", C("node").alias("old")).join(new, "key").where("old <> node").groupBy("node").agg(F.count("*").alias("n_moved"))
+
+
+RDV = f"r AS (SELECT key, node, row_number() OVER (PARTITION BY key ORDER BY u DESC, ord) AS k FROM ({murmur('''SELECT c_custkey AS key, 'node-' || o AS node, o AS ord, c_custkey || ':node-' || o AS rk FROM customer, range(8) a(o)''', 'rk', 'u')}))"
+
+
+@query(f"WITH {RDV} SELECT key, 1 AS k, node FROM r WHERE k = 1")
+def rdv_lookup(spark, d):
+    return partitioning.rendezvous(_customer_keys(spark, d), nodes(spark, 8))
+
+
+@query(f"WITH {RDV} SELECT key, k::INT AS k, node FROM r WHERE k <= 3")
+def rdv_topn(spark, d):
+    return partitioning.rendezvous(_customer_keys(spark, d), nodes(spark, 8), 3)
+
+
+# Transactions.
+
+
+@query(f"WITH {TX} SELECT txn, begin_seq, end_seq, state FROM st")
+def mvcc_txn_states(spark, d):
+    return txn.states(transactions(spark, d))
+
+
+@query(f"""WITH {TX}, rd AS (SELECT tx.seq, tx.txn, tx.key, begin_seq FROM tx JOIN st USING (txn) WHERE op = 'read'),
+wr AS (SELECT tx.seq AS w_seq, tx.txn AS w_txn, tx.key, value, CASE WHEN state = 'committed' THEN end_seq END AS w_end FROM tx JOIN st USING (txn) WHERE op = 'write'),
+best AS (SELECT rd.seq, arg_max(value, w_seq) AS value FROM rd JOIN wr USING (key) WHERE w_seq < rd.seq AND (w_txn = txn OR w_end < begin_seq) GROUP BY rd.seq)
+SELECT rd.seq, txn, key, best.value FROM rd LEFT JOIN best USING (seq)""")
+def mvcc_snapshot_read(spark, d):
+    return txn.snapshot_reads(transactions(spark, d))
+
+
+@query(f"""WITH {TX}, ok AS (SELECT * FROM st WHERE state = 'committed'), side AS (SELECT DISTINCT op, txn, key, begin_seq, end_seq FROM tx JOIN ok USING (txn) WHERE op IN ('read', 'write'))
+SELECT DISTINCT r.txn AS reader, w.txn AS writer FROM side r JOIN side w USING (key) WHERE r.op = 'read' AND w.op = 'write' AND r.txn <> w.txn AND r.begin_seq < w.end_seq AND w.begin_seq < r.end_seq""")
+def ssi_conflict_pairs(spark, d):
+    return txn.conflict_pairs(transactions(spark, d))
+
+
+@query()
+def ssi_outcome(spark, d):
+    return txn.ssi_outcome(transactions(spark, d))
+
+
+# Replication.
+
+
+def followers(spark):
+    return spark.createDataFrame([("follower-0", 1000), ("follower-1", 5000), ("follower-2", 0)], "follower string, hwm long")
+
+
+FW = "fw AS (SELECT * FROM (VALUES ('follower-0', 1000), ('follower-1', 5000), ('follower-2', 0)) t(follower, hwm))"
+
+
+@query(f"WITH {LG}, {FW}, own AS (SELECT * FROM lg JOIN fw ON seq <= hwm) SELECT follower, key, value FROM (SELECT follower, key, arg_max(struct_pack(v := value), seq).v AS value, arg_max(op, seq) AS op FROM own GROUP BY follower, key) WHERE op = 'put'")
+def repl_follower_state(spark, d):
+    return replication.follower_state(event_log(spark, d), followers(spark))
+
+
+@query(f"WITH {LG}, {FW} SELECT follower, (SELECT coalesce(max(seq), 0) FROM lg) - hwm AS lag FROM fw")
+def repl_lag(spark, d):
+    return replication.lag(event_log(spark, d), followers(spark))
+
+
+@query(f"WITH {LG} SELECT key, value, seq, op FROM lg WHERE seq > 900")
+def repl_entries_after(spark, d):
+    return replication.entries_after(event_log(spark, d), 900)
+
+
+@query(f"WITH {LG}, {LAST} SELECT key, value FROM last WHERE op = 'put'")
+def repl_leader_state(spark, d):
+    return replication.leader_state(event_log(spark, d))
+
+
+@query(f"WITH {CELLS} SELECT key, arg_max(value, version) AS value, max(version) AS version, count(DISTINCT replica) AS n_replicas, count(DISTINCT replica) >= 2 AS ok FROM cells GROUP BY key")
+def quorum_read(spark, d):
+    return replication.quorum_read(cells(spark, d), 2)
+
+
+@query(f"""WITH {CELLS}, best AS (SELECT key, arg_max(value, version) AS value, max(version) AS version FROM cells GROUP BY key), held AS (SELECT replica, key, max(version) AS held FROM cells GROUP BY replica, key)
+SELECT r.replica, best.key, best.value, best.version FROM best CROSS JOIN (SELECT DISTINCT replica FROM cells) r LEFT JOIN held ON held.replica = r.replica AND held.key = best.key WHERE held IS NULL OR held < version""")
+def quorum_repair(spark, d):
+    own = cells(spark, d)
+    return replication.read_repair(own, own)
+
+
+UP = "up AS (SELECT * FROM (VALUES ('replica-0', 0, 6000), ('replica-1', 2000, 1000000), ('replica-2', 500, 4000)) t(replica, version_from, version_to))"
+
+
+@query(f"WITH {UP}, p AS (SELECT event_id AS version, replica, row_number() OVER (PARTITION BY event_id ORDER BY replica) AS k FROM events JOIN up ON event_id BETWEEN version_from AND version_to) SELECT version, replica, count(*) OVER (PARTITION BY version) >= 2 AS success FROM p WHERE k <= 2")
+def quorum_write(spark, d):
+    up = spark.createDataFrame([("replica-0", 0, 6000), ("replica-1", 2000, 1_000_000), ("replica-2", 500, 4000)], "replica string, version_from long, version_to long")
+    return replication.quorum_write(table(spark, d, "events").select(C("event_id").alias("version")), up, 2)
+
+
+# Mergeable state and clocks.
+
+
+def counts(spark, d):
+    """Each replica's view: counts per node up to the replica's part of the log."""
+    rows = table(spark, d, "events").withColumn("node", F.concat(F.lit("n"), (C("user_id") % 5).cast("string")))
+    views = [rows.where(C("event_id") % 3 != i).groupBy("node").agg(F.count_if(C("event_type") == "purchase").alias("pos"), F.count_if(C("event_type") == "error").alias("neg")).withColumn("replica", F.lit(f"r{i}")) for i in range(3)]
+    return views[0].unionByName(views[1]).unionByName(views[2])
+
+
+CN = "cn AS (SELECT 'r' || i AS replica, 'n' || (user_id % 5) AS node, sum((event_type = 'purchase')::INT)::BIGINT AS pos, sum((event_type = 'error')::INT)::BIGINT AS neg FROM events, range(3) t(i) WHERE event_id % 3 <> i GROUP BY 1, 2)"
+
+
+@query(f"WITH {CN} SELECT sum(n)::BIGINT AS value FROM (SELECT node, max(pos) AS n FROM cn GROUP BY node)")
+def crdt_gcounter(spark, d):
+    return mergeable.gcounter_value(counts(spark, d).select("replica", "node", C("pos").alias("n")))
+
+
+@query(f"WITH {CN} SELECT sum(p - m)::BIGINT AS value FROM (SELECT node, max(pos) AS p, max(neg) AS m FROM cn GROUP BY node)")
+def crdt_pncounter(spark, d):
+    return mergeable.pncounter_value(counts(spark, d))
+
+
+@query("SELECT DISTINCT user_id AS item FROM events WHERE event_id % 3 <> 1")
+def crdt_gset(spark, d):
+    rows = table(spark, d, "events").select(C("user_id").alias("item"), "event_id")
+    return mergeable.gset_merge(rows.where("event_id % 3 = 0").select("item"), rows.where("event_id % 3 = 2").select("item"))
+
+
+TG = "tg AS (SELECT user_id AS item, user_id || ':' || (event_id % 50) AS tag, event_type = 'error' AS removed FROM events)"
+
+
+def tags(spark, d):
+    return table(spark, d, "events").select(C("user_id").alias("item"), F.concat_ws(":", C("user_id").cast("string"), (C("event_id") % 50).cast("string")).alias("tag"), (C("event_type") == "error").alias("removed"))
+
+
+@query(f"WITH {TG} SELECT DISTINCT item FROM (SELECT item, tag FROM tg GROUP BY item, tag HAVING NOT bool_or(removed))")
+def crdt_orset(spark, d):
+    return mergeable.orset_observed(tags(spark, d))
+
+
+@query(f"WITH {TG} SELECT DISTINCT item, tag FROM tg WHERE NOT removed")
+def crdt_orset_union(spark, d):
+    own = tags(spark, d).where("not removed")
+    return mergeable.orset_merge(own.where("item % 2 = 0").select("item", "tag"), own.where("item % 3 <> 1").select("item", "tag"), own.select("item", "tag"))
+
+
+CK = "ck AS (SELECT user_id AS process, 'n' || (event_id % 4) AS node, count(*) AS n FROM events GROUP BY 1, 2)"
+
+
+def clocks(spark, d):
+    rows = table(spark, d, "events").groupBy(C("user_id").alias("process"), F.concat(F.lit("n"), (C("event_id") % 4).cast("string")).alias("node")).agg(F.count("*").alias("n"))
+    return rows.groupBy("process").agg(F.map_from_entries(F.collect_list(F.struct("node", "n"))).alias("clock"))
+
+
+@query(f"""WITH {CK}, p AS (SELECT DISTINCT process AS a, process + 1 AS b FROM ck WHERE process + 1 IN (SELECT process FROM ck)),
+dn AS (SELECT a, b, n.node, coalesce(x.n, 0) - coalesce(y.n, 0) AS dif FROM p CROSS JOIN (SELECT DISTINCT node FROM ck) n LEFT JOIN ck x ON x.process = a AND x.node = n.node LEFT JOIN ck y ON y.process = b AND y.node = n.node)
+SELECT a, b, CASE WHEN bool_or(dif < 0) AND bool_or(dif > 0) THEN 'concurrent' WHEN bool_or(dif < 0) THEN 'before' WHEN bool_or(dif > 0) THEN 'after' ELSE 'equal' END AS relation FROM dn GROUP BY a, b""")
+def vclock_compare(spark, d):
+    a = clocks(spark, d)
+    b = a.select((C("process") - 1).alias("a"), C("process").alias("b"), C("clock").alias("other"))
+    return a.withColumnRenamed("process", "a").join(b, "a").select("a", "b", mergeable.clock_relation(C("clock"), C("other")).alias("relation"))
+
+
+@query(f"WITH {CK} SELECT process % 10 AS cluster, node, max(n) AS n FROM ck GROUP BY 1, 2")
+def vclock_merge(spark, d):
+    rows = clocks(spark, d).select((C("process") % 10).alias("cluster"), F.explode("clock").alias("node", "n"))
+    return mergeable.clocks_merged(rows, "cluster")
+
+
+@query("SELECT user_id AS process, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS ts FROM events")
+def lamport_local(spark, d):
+    return mergeable.lamport(table(spark, d, "events").select(C("user_id").alias("process"), C("event_id").alias("seq"), F.lit(None).cast("long").alias("received")))
+
+
+@query("""WITH e AS (SELECT user_id AS process, event_id AS seq, CASE WHEN event_type = 'click' THEN event_id % 97 END AS received, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)
+SELECT process, seq, (i + greatest(0, coalesce(max(received - (i - 1)) OVER (PARTITION BY process ORDER BY seq), 0)))::BIGINT AS ts FROM e""")
+def lamport_receive(spark, d):
+    return mergeable.lamport(table(spark, d, "events").select(C("user_id").alias("process"), C("event_id").alias("seq"), F.when(C("event_type") == "click", C("event_id") % 97).alias("received")))
+
+
+@query("""WITH a AS (SELECT 'n' || user_id AS node, event_type AS state, event_id % 100 AS version, event_id FROM events), l AS (SELECT node, arg_max(state, event_id) AS state, arg_max(version, event_id) AS version FROM a WHERE event_id % 2 = 0 GROUP BY node),
+r AS (SELECT node, arg_max(state, event_id) AS state, arg_max(version, event_id) AS version FROM a WHERE event_id % 2 = 1 GROUP BY node)
+SELECT coalesce(l.node, r.node) AS node, CASE WHEN l.node IS NULL OR r.version > l.version THEN r.state ELSE l.state END AS state, CASE WHEN l.node IS NULL OR r.version > l.version THEN r.version ELSE l.version END AS version FROM l FULL JOIN r ON l.node = r.node""")
+def gossip_merge(spark, d):
+    own = table(spark, d, "events").select(F.concat(F.lit("n"), C("user_id").cast("string")).alias("node"), C("event_type").alias("state"), (C("event_id") % 100).alias("version"), "event_id")
+    known = lambda parity: own.where(C("event_id") % 2 == parity).groupBy("node").agg(F.max(F.struct("event_id", "state", "version")).alias("s")).select("node", "s.state", "s.version")
+    return mergeable.gossip_merge(known(0), known(1))
+
+
+# Consensus.
+
+VT = """rq AS (SELECT event_id AS seq, 'v' || (user_id % 5) AS voter, event_id // 50 AS term, 'c' || (user_id % 3) AS candidate, event_id % 7 AS last_term, event_id % 11 AS last_index FROM events),
+vt AS (SELECT voter, term, arg_min(candidate, seq) AS candidate FROM rq WHERE last_term > 2 OR last_term = 2 AND last_index >= 4 GROUP BY voter, term)"""
+
+
+@query(f"WITH {VT} SELECT term, candidate, count(DISTINCT voter) AS votes, 2 * count(DISTINCT voter) > 5 AS leader FROM vt GROUP BY term, candidate")
+def raft_vote_tally(spark, d):
+    requests = table(spark, d, "events").select(C("event_id").alias("seq"), F.concat(F.lit("v"), (C("user_id") % 5).cast("string")).alias("voter"), F.floor(C("event_id") / 50).cast("long").alias("term"), F.concat(F.lit("c"), (C("user_id") % 3).cast("string")).alias("candidate"), (C("event_id") % 7).alias("last_term"), (C("event_id") % 11).alias("last_index"))
+    voters = spark.createDataFrame([(f"v{i}", 2, 4) for i in range(5)], "voter string, own_last_term long, own_last_index long")
+    return consensus.tally(consensus.granted_votes(requests, voters), 5)
+
+
+def _matches(spark):
+    return spark.createDataFrame([("node-0", 950), ("node-1", 700), ("node-2", 810), ("node-3", 20), ("node-4", 999)], "node string, match_index long")
+
+
+@query("SELECT coalesce(max(event_id), -1) AS commit_index FROM events WHERE event_id <= 810 AND event_id // 100 = 8")
+def raft_commit_index(spark, d):
+    own = table(spark, d, "events").select(C("event_id").alias("idx"), F.floor(C("event_id") / 100).cast("long").alias("term"))
+    return consensus.commit_index(own, _matches(spark), 8)
+
+
+@query("SELECT 'node-' || i AS node, min(event_id) AS first_conflict FROM events, range(1, 4) t(i) WHERE event_id >= 100 * i GROUP BY 1")
+def raft_log_divergence(spark, d):
+    own = table(spark, d, "events").select(C("event_id").alias("idx"), F.floor(C("event_id") / 100).cast("long").alias("term"))
+    others = own.select("idx", "term", F.explode(F.array(*(F.lit(i) for i in (1, 2, 3)))).alias("i")).select(F.concat(F.lit("node-"), C("i").cast("string")).alias("node"), "idx", F.when(C("idx") >= 100 * C("i"), C("term") + 100).otherwise(C("term")).alias("term"))
+    return consensus.divergence(own, others)
+
+
+# Entries and orders.
+
+
+@query("""SELECT doc_id, doc_id || ',' || CASE WHEN regexp_matches(text, '[,"\\r\\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS entry FROM documents""")
+def csv_entry_encode(spark, d):
+    return table(spark, d, "documents").select("doc_id", serde.csv_entry(C("doc_id"), C("text")).alias("entry"))
+
+
+@query("""SELECT o_orderkey, upper(string_agg(substring(h, 17 - 2 * i, 2), '' ORDER BY i) || printf('%02X', length(o_orderpriority)) || hex(encode(o_orderpriority))) AS entry
+FROM (SELECT o_orderkey, o_orderpriority, printf('%016X', o_orderkey) AS h FROM orders), range(1, 9) t(i) GROUP BY o_orderkey, o_orderpriority""")
+def bin_entry_encode(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", F.hex(serde.binary_entry(C("o_orderkey"), C("o_orderpriority"))).alias("entry"))
+
+
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (ORDER BY o_custkey NULLS FIRST, o_orderkey NULLS FIRST) - 1 AS n FROM orders")
+def composite_key_sort(spark, d):
+    return sstable.place(table(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
