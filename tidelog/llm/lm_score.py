@@ -22,13 +22,15 @@ from tidelog.llm.common import binary, materialize, slices
 SYMBOLS = 64
 RARE = SYMBOLS - 1
 ORDER = 3
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Into so many blocks a file's part is cut, so that a block's texts and words stay small in a Python worker.
+BLOCK_PARTS = 4
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, held_out) -> DataFrame:
-    """``id, held_out, text, block``; a block is half of a file's part, by hash, and so the same in every pass."""
+    """``id, held_out, text, block``; a block is a BLOCK_PARTS-th of a file's part, by hash, and so the same in every pass."""
     rows = lambda d: (F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    at = lambda text: F.xxhash64("_metadata.file_path", "_metadata.file_block_start", F.pmod(F.xxhash64(text), F.lit(2))).alias("block")
+    at = lambda text: F.xxhash64("_metadata.file_path", "_metadata.file_block_start", F.pmod(F.xxhash64(text), F.lit(BLOCK_PARTS))).alias("block")
     try:
         return docs.select(*rows(docs), at(text_col))
     except AnalysisException:  # not the rows of files
@@ -124,6 +126,7 @@ def _gram_counts(train: DataFrame, alphabet: Alphabet) -> np.ndarray:
                     add()
         if waiting:
             add()
+        pa.default_memory_pool().release_unused()
         at = np.flatnonzero(n)
         for i in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000], pa.int32()), pa.array(n[at[i : i + 100_000]], pa.int64())], ["gram", "n"])
@@ -144,7 +147,9 @@ def _word_counts(rows: DataFrame) -> DataFrame:
                 words = (text or b"").lower().split()
                 own = found.setdefault(block, Counter())
                 own.update(dict.fromkeys(words, 0) if held else words)
-        for block, own in found.items():
+        pa.default_memory_pool().release_unused()
+        for block in list(found):
+            own = found.pop(block)
             words, times = list(own), list(own.values())
             for i in range(0, len(words), 50_000):
                 part = words[i : i + 50_000]
@@ -166,7 +171,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     train = rows.where("not held_out")
     byte_counts = _byte_counts(train)
     alphabet = Alphabet(byte_counts)
-    table = spark.sparkContext.broadcast(ppm_table(_gram_counts(train, alphabet)))
+    shared = spark.sparkContext.broadcast(ppm_table(_gram_counts(train, alphabet)).tobytes())  # bytes: a worker doesn't copy them to use them
     of, share = alphabet.of, alphabet.share
 
     word = Window.partitionBy("word")
@@ -179,6 +184,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     end = float(np.log10(n_train + 1))
 
     def score(batch_docs: pa.Table, batch_words: pa.Table) -> pa.Table:
+        table = np.frombuffer(shared.value, np.float32)
         log_of = dict(zip(batch_words["word"].to_pylist(), np.log10(batch_words["c"].to_numpy() + 1.0).tolist(), strict=True))
         texts = [(x or b"").lower() for x in binary(batch_docs["text"])]
         n_tokens, n_known, base, own = [], [], [], np.zeros(len(texts))
@@ -195,7 +201,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
                 stop += 1
             part = texts[start:stop]
             codes, first = _symbols(part, of)
-            own[start:stop] = np.add.reduceat(table.value[codes], first, dtype=np.float64)
+            own[start:stop] = np.add.reduceat(table[codes], first, dtype=np.float64)
             rare = share[np.frombuffer(b"\x00".join(part) + b"\x00", np.uint8)]
             rare[np.cumsum([len(t) + 1 for t in part]) - 1] = 0
             own[start:stop] += np.add.reduceat(rare, first)
