@@ -46,10 +46,10 @@ LAST = "last AS (SELECT key, arg_max(struct_pack(v := value), seq).v AS value, m
 
 
 def event_segments(spark: SparkSession, d: str) -> DataFrame:
-    return event_log(spark, d).withColumn("segment_id", F.floor(C("seq") / 1000).cast("long"))
+    return event_log(spark, d).withColumn("segment_id", F.floor(C("seq") / 250).cast("long"))
 
 
-SG = LG + ", sg AS (SELECT *, seq // 1000 AS segment_id FROM lg)"
+SG = LG + ", sg AS (SELECT *, seq // 250 AS segment_id FROM lg)"
 
 
 def order_log(spark: SparkSession, d: str) -> DataFrame:
