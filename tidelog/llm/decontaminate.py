@@ -78,7 +78,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     A window has as many words as the item (a shorter text is one window). It leaks the item if their SimHashes
     differ in RADIUS bits at most and the weighted similarity of their shingles is LEAST_SIMILARITY or more; of
     equal windows the first is given. mark is a hash of the text; rows equal in id and text give one result.
-    Null and word-less texts and items leak nothing; null ids stay null.
+    Null and word-less texts leak nothing, nor do such items and those without an id; null ids of texts stay null.
     """
     item = items.select(F.col(item_id).alias("item_id"), words_of(F.col(item_text)).alias("w")).where(F.size("w") > 0)
     item = with_simhash(item.select("item_id", F.size("w").alias("len"), shingles_of(F.col("w")).alias("own")), "own", "item_fp")
