@@ -19,6 +19,8 @@ LEAST_SIMILARITY = 0.8
 #: Lines of fewer words are never removed.
 LEAST_WORDS = 3
 SLICE_BYTES = 2 << 20
+#: Words that 16 bits can count.
+LANE_WORDS = 65_535
 #: A-Z is lower-cased, digits become 0, and ASCII punctuation goes; white space is collapsed later.
 FOLD = bytes(ord("0") if 48 <= c <= 57 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 DROPPED = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -34,15 +36,23 @@ def line_hash(words: list[bytes]) -> int:
 
 
 def simhashes(lines: list[list[bytes]]) -> np.ndarray:
-    """Fingerprints, as signed longs, of lines with a word each: a bit is set where over half of the words' hashes have it."""
+    """Fingerprints, as signed longs, of lines with a word each: a bit is set where over half of the words' hashes have it.
+
+    Each of 16 long sums counts four bits, in 16 bits each; of longer lines the parts' counts are added up.
+    """
     if not lines:
         return np.empty(0, np.int64)
     number: dict[bytes, int] = {}
     at = np.fromiter((number.setdefault(w, len(number)) for words in lines for w in words), np.int64)
     hashes = np.array([xxhash.xxh64_intdigest(w) for w in number], np.uint64)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    lanes = (hashes[:, None] >> np.arange(16, dtype=np.uint64)) & np.uint64(0x0001000100010001)
     sizes = np.array([len(x) for x in lines], np.int64)
-    ones = np.add.reduceat(bits[at], np.cumsum(sizes) - sizes, axis=0, dtype=np.int32)
+    parts = -(-sizes // LANE_WORDS)
+    first = np.repeat(np.cumsum(sizes) - sizes, parts) + LANE_WORDS * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    sums = np.add.reduceat(lanes[at], first, axis=0)
+    ones = ((sums[:, None, :] >> np.arange(0, 64, 16, dtype=np.uint64)[:, None]) & np.uint64(0xFFFF)).reshape(-1, 64).astype(np.int64)
+    if len(ones) > len(lines):
+        ones = np.add.reduceat(ones, np.cumsum(parts) - parts, axis=0)
     return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.int64).ravel()
 
 
@@ -104,30 +114,67 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(run, "id long, mark long, pos int, h long, fp long")
 
 
+def _masks(blocks: int) -> list[int]:
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    return [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:], strict=False)]
+
+
+def _mask(m: int) -> Column:
+    return F.lit(m - (1 << 64) if m >> 63 else m)
+
+
 def block_keys(fp: Column, blocks: int) -> Column:
     """Keys such that fingerprints within RADIUS have one in common: all but RADIUS of the blocks are equal."""
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    keys = []
-    for n, chosen in enumerate(combinations(range(blocks), blocks - RADIUS)):
-        mask = sum(((1 << edges[i + 1]) - (1 << edges[i])) for i in chosen)
-        mask -= (1 << 64) if mask >= 1 << 63 else 0
-        keys.append(F.struct(F.lit(n).alias("n"), fp.bitwiseAND(F.lit(mask)).alias("bits")))
-    return F.array(*keys)
+    masks = _masks(blocks)
+    chosen = combinations(range(blocks), blocks - RADIUS)
+    return F.array(*(F.struct(F.lit(n).alias("n"), fp.bitwiseAND(_mask(sum(masks[i] for i in own))).alias("bits")) for n, own in enumerate(chosen)))
+
+
+def first_key(n: Column, differing: Column, blocks: int) -> Column:
+    """Whether key number n is the first that two fingerprints have in common, given the bits in which they differ.
+
+    It is if every block that the key leaves out before its last one differs. So each pair is found once.
+    """
+    masks = _masks(blocks)
+    out = F.lit(True)
+    for k, own in enumerate(combinations(range(blocks), blocks - RADIUS)):
+        for i in range(own[-1]):
+            if i not in own:
+                out = out & ((n != k) | (differing.bitwiseAND(_mask(masks[i])) != 0))
+    return out
 
 
-def candidates(lines: DataFrame) -> DataFrame:
-    """All pairs ``(a, b)`` of different lines' hashes whose fingerprints are within RADIUS bits.
+def crowded(kinds: DataFrame) -> tuple[DataFrame, int]:
+    """``key, n_key, h, fp, times`` of the keys that several lines have, and the number of blocks.
 
     More lines get more blocks, so that a key's bits stay more than those that number the lines; that changes
-    only how the pairs are found. Of the keys, those of one line only go before the join.
+    only how pairs are found.
     """
-    n = lines.count()
+    n = kinds.count()
     blocks = 5 if n < 1 << 24 else 6 if n < 1 << 30 else 7
-    keys = lines.select("h", "fp", F.explode(block_keys(F.col("fp"), blocks)).alias("key")).select("h", "fp", F.xxhash64("key").alias("key"))
+    keys = kinds.select("h", "fp", "times", F.explode(block_keys(F.col("fp"), blocks)).alias("k")).select("h", "fp", "times", F.xxhash64("k").alias("key"), F.col("k.n").alias("n_key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    crowd = materialize(keys.join(shared, "key"), "line_blocks")
-    a, b = crowd.select("key", F.col("h").alias("a"), F.col("fp").alias("x")), crowd.select("key", F.col("h").alias("b"), F.col("fp").alias("y"))
-    return a.join(b, (a.key == b.key) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= RADIUS)).select("a", "b").distinct()
+    return materialize(keys.join(shared, "key"), "line_blocks"), blocks
+
+
+def _near(x: str, y: str, blocks: int) -> Column:
+    differing = F.col(x).bitwiseXOR(F.col(y))
+    return (F.bit_count(differing) <= RADIUS) & first_key(F.col("n_key"), differing, blocks)
+
+
+def star_pairs(crowd: DataFrame, blocks: int) -> DataFrame:
+    """Pairs ``(a, b)`` of each key's most frequent line with its other lines within RADIUS."""
+    lead = crowd.groupBy("key").agg(F.max(F.struct("times", "h", "fp")).alias("lead")).select("key", F.col("lead.h").alias("lead"), F.col("lead.fp").alias("lead_fp"))
+    return crowd.join(lead, "key").where((F.col("h") != F.col("lead")) & _near("fp", "lead_fp", blocks)).select(F.least("h", "lead").alias("a"), F.greatest("h", "lead").alias("b"))
+
+
+def other_pairs(crowd: DataFrame, joined: DataFrame, blocks: int) -> DataFrame:
+    """All pairs ``(a, b)`` within RADIUS whose lines aren't connected yet; between others a link adds nothing."""
+    rooted = crowd.join(joined, crowd.h == joined.node, "left").select("key", "n_key", "h", "fp", F.coalesce("root", "h").alias("root"))
+    rooted = materialize(rooted, "line_roots")
+    a = rooted.select("key", "n_key", F.col("h").alias("a"), F.col("fp").alias("x"), F.col("root").alias("r"))
+    b = rooted.select(F.col("key").alias("key_b"), F.col("h").alias("b"), F.col("fp").alias("y"), F.col("root").alias("s"))
+    return a.join(b, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("r") != F.col("s")) & _near("x", "y", blocks)).select("a", "b")
 
 
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -140,11 +187,16 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "h long, line string")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+def near_texts(crowd: DataFrame, blocks: int, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``h, line`` of the lines that have another within RADIUS; a semi-join gives each once, however many it has."""
+    other = crowd.select(F.col("key").alias("key_b"), F.col("h").alias("b"), F.col("fp").alias("y"))
+    wanted = crowd.join(other, (F.col("key") == F.col("key_b")) & (F.col("h") != F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("y"))) <= RADIUS), "left_semi").select("h").distinct()
+    return materialize(_texts(docs, text_col).join(wanted, "h").groupBy("h").agg(F.first("line").alias("line")), "line_texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose normalised lines have an edit similarity of LEAST_SIMILARITY or more."""
-    pairs = materialize(pairs, "line_pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    texts = materialize(_texts(docs, text_col).join(wanted, "h").groupBy("h").agg(F.first("line").alias("line")), "line_texts")
+    pairs = pairs.distinct()
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,8 +216,12 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     words don't count. Rows equal in id and text are decided alike. Null and empty texts have no such lines.
     """
     lines = materialize(lines_of(docs, id_col, text_col), "lines")
-    distinct = materialize(lines.groupBy("h").agg(F.first("fp").alias("fp")), "line_kinds")
-    joined = connected_components(verified(candidates(distinct), docs, text_col))
+    kinds = materialize(lines.groupBy("h").agg(F.first("fp").alias("fp"), F.count("*").alias("times")), "line_kinds")
+    crowd, blocks = crowded(kinds)
+    texts = near_texts(crowd, blocks, docs, text_col)
+    stars = materialize(verified(star_pairs(crowd, blocks), texts), "line_stars")
+    rest = verified(other_pairs(crowd, connected_components(stars), blocks), texts)
+    joined = connected_components(stars.unionByName(rest))
     grouped = lines.join(joined, lines.h == joined.node, "left").select("id", "mark", "pos", "h", F.coalesce("root", "h").alias("line_group"))
     grouped = materialize(grouped, "grouped_lines")
     first = grouped.groupBy("line_group").agg(F.min(F.struct("id", "mark", "pos")).alias("first"))
