@@ -18,8 +18,9 @@ LEAST_SIMILARITY = 0.8
 #: 64 bits in 8 blocks: fingerprints that differ in up to 23 bits have a block that differs in 2 at most.
 BLOCKS, ERRORS = 8, 2
 RADIUS = BLOCKS * (ERRORS + 1) - 1
-#: Item shingles are broadcast up to this number (16 bytes each), else joined by a shuffle.
-MOST_BROADCAST = 500_000
+#: Item shingles (16 bytes each) and texts with windows to fingerprint (up to some hundred bytes each) are broadcast up
+#: to these numbers; more are joined by a shuffle, with the same result.
+MOST_BROADCAST, MOST_TEXTS = 500_000, 100_000
 PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 LANE = 0x0001000100010001
 
@@ -98,7 +99,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     starts = F.when(first <= last, F.filter(F.sequence(first, last), lambda s: inside(s) >= enough))
     windows = near.select("id", "mark", "len", F.explode(starts).alias("start")).distinct()
     of_text = materialize(windows.groupBy("id", "mark").agg(F.collect_list(F.struct("len", "start")).alias("windows")), "windows")
-    cut = text.join(of_text.select(F.col("id").alias("w_id"), F.col("mark").alias("w_mark"), "windows"), F.col("id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark")))
+    of_text = of_text.select(F.col("id").alias("w_id"), F.col("mark").alias("w_mark"), "windows")
+    if of_text.count() <= MOST_TEXTS:  # or else all texts are shuffled for a few
+        of_text = F.broadcast(of_text)
+    cut = text.join(of_text, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark")))
     cut = cut.select("id", "mark", words_of(F.col("text")).alias("w"), "windows").select("id", "mark", shingles_of(F.col("w")).alias("all"), F.explode("windows").alias("x"))
     part = F.slice("all", F.col("x.start") + 1, F.greatest(F.col("x.len") - WIDTH + 1, F.lit(1)))
     cut = with_simhash(cut.select("id", "mark", F.col("x.len").alias("len"), F.col("x.start").alias("start"), part.alias("part")), "part").dropDuplicates(["id", "mark", "len", "start"])

@@ -22,6 +22,8 @@ PAD = 256
 #: The network is fitted on this many rows of each language at most, and on so many windows of each.
 ROWS_A_LANGUAGE, WINDOWS_A_ROW = 400, 4
 EPOCHS, BATCH, RATE, SEED = 14, 512, 0.02, 7
+#: With few windows, batches are smaller and epochs more, for so many steps at least.
+LEAST_STEPS = 160
 WINDOWS_AT_ONCE = 4096
 SLICE_BYTES = 4 << 20
 UNKNOWN = "und"
@@ -143,6 +145,8 @@ class BiGru:
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE) -> float:
         """Adam over shuffled batches; returns the last epoch's mean loss."""
+        batch = min(batch, max(32, len(x) // 8))
+        epochs = max(epochs, -(-LEAST_STEPS * batch // max(1, len(x))))
         r, step, loss = np.random.default_rng(SEED), 0, 0.0
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
