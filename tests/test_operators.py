@@ -136,6 +136,9 @@ def test_merkle(spark):
     assert merkle.root(one).first()["root"] == leaf[0]
     with pytest.raises(IndexError):
         merkle.proof(nodes, 3, 3)
+    for n in (1, 2, 5, 9, 16):
+        leaf = merkle.leaves(spark.range(n).select("id", F.col("id").cast("string").alias("b")), "id", "b")
+        assert [r["root"] for r in merkle.root_of(leaf, 2).collect()] == [merkle.root(merkle.tree(leaf)).first()["root"]]
 
 
 def test_write_skew_and_snapshots(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from hashlib import sha256
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.operators.segments import numbered
@@ -37,6 +37,30 @@ def root(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy().agg(F.max(F.struct("level", "hash")).alias("top")).select(F.col("top.hash").alias("root"))
 
 
+def root_of(leaf: DataFrame, step: int = 10) -> DataFrame:
+    """``root`` of leaves ``(pos, hash)`` without the levels between: each shuffle folds up to ``step`` levels, so a billion leaves take three.
+
+    A group has 2 ** step hashes at most. No leaves have no root.
+    """
+    n = leaf.count()
+    levels, done, now = max(n - 1, 0).bit_length(), 0, leaf.select("pos", "hash")
+    pads = pad_hashes(levels)
+
+    def fold(hashes: Column, level: int) -> Column:
+        """Pairs of neighbours; a last one without a neighbour is paired with padding."""
+        last = F.floor((F.size(hashes) - 1) / 2).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.sha2(F.unhex(F.concat(F.get(hashes, 2 * i), F.coalesce(F.get(hashes, 2 * i + 1), F.lit(pads[level])))), 256))
+
+    while done < levels:
+        k = min(step, levels - done)
+        groups = now.groupBy(F.shiftright("pos", k).alias("up")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "hash"))), lambda x: x["hash"]).alias("h"))
+        for level in range(done, done + k):
+            groups = groups.select("up", fold(F.col("h"), level).alias("h"))
+        now = groups.select(F.col("up").alias("pos"), F.get("h", 0).alias("hash"))
+        done += k
+    return now.select(F.col("hash").alias("root"))
+
+
 def pad_hashes(levels: int) -> list[str]:
     out = [EMPTY]
     for _ in range(levels):

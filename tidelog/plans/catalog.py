@@ -369,7 +369,7 @@ def _merkle(spark, d):
 
 @query(f"{_merkle_sql(5, LEAVES)} SELECT hash AS root FROM l5")
 def merkle_root(spark, d):
-    return merkle.root(_merkle(spark, d))
+    return merkle.root_of(merkle.leaves(table(spark, d, "nation"), "n_nationkey", "n_name"))
 
 
 @query(f"{_merkle_sql(5, LEAVES)} SELECT 0 AS level, hash AS sibling FROM l0 WHERE pos = 4 UNION ALL SELECT 1, hash FROM l1 WHERE pos = 3 UNION ALL SELECT 2, hash FROM l2 WHERE pos = 0 UNION ALL SELECT 3, hash FROM l3 WHERE pos = 1 UNION ALL SELECT 4, hash FROM l4 WHERE pos = 1")
