@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import binary, materialize
 from tidelog.llm.components import connected_components
+from tidelog.llm.shingle_groups import similar_groups
 
 #: Fixed value: generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GOLAY = 0b110001110101
@@ -159,14 +160,15 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """One document of every group, that of the smallest id, with all its columns.
 
-    Two of 64 bits are an angle whose cosine is 0.995, so what is linked is far above a similarity of 0.8. Of
-    rows equal in that id, that of the smallest text hash stays; of wholly equal ones, one. Rows without an id
-    stay only if their group has no id at all, one of them.
+    Groups are those of ``shingle_groups.similar_groups``: similarity 0.8 or more. Of rows equal in that id, that
+    of the smallest text hash stays; of wholly equal ones, one. Rows without an id stay only if their group has
+    no id at all, one of them.
     """
-    groups = materialize(simhash_groups(docs, id_col, text_col, width), "groups")
-    chosen = groups.where(F.col("id").eqNullSafe(F.col("component_id")))
-    first = chosen.groupBy("fp", "id", "mark").agg(F.count("*").alias("n"))
-    first = first.groupBy("id").agg(F.min("mark").alias("mark"), F.sum("n").alias("n")).where("id is not null").unionByName(first.where("id is null").groupBy("fp").agg(F.min("mark").alias("mark"), F.sum("n").alias("n")).select(F.lit(None).cast("long").alias("id"), "mark", "n"))
+    groups = materialize(similar_groups(docs, id_col, text_col, width), "groups")
+    least = groups.groupBy("root").agg(F.min("id").alias("component_id"))
+    chosen = groups.join(least, "root").where(F.col("id").eqNullSafe(F.col("component_id")))
+    first = chosen.groupBy("root", "id", "mark").agg(F.count("*").alias("n"))
+    first = first.groupBy("id").agg(F.min("mark").alias("mark"), F.sum("n").alias("n")).where("id is not null").unionByName(first.where("id is null").groupBy("root").agg(F.min("mark").alias("mark"), F.sum("n").alias("n")).select(F.lit(None).cast("long").alias("id"), "mark", "n"))
     first = materialize(first.select(F.col("id").alias("__k_id"), F.col("mark").alias("__k_mark"), F.col("n").alias("__k_n")), "first")
     same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__k_id")) & (F.xxhash64(text_col) == F.col("__k_mark"))
     kept = docs.join(first, same)
