@@ -165,10 +165,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     no id at all, one of them.
     """
     groups = materialize(similar_groups(docs, id_col, text_col, width), "groups")
-    least = groups.groupBy("root").agg(F.min("id").alias("component_id"))
-    chosen = groups.join(least, "root").where(F.col("id").eqNullSafe(F.col("component_id")))
-    first = chosen.groupBy("root", "id", "mark").agg(F.count("*").alias("n"))
-    first = first.groupBy("id").agg(F.min("mark").alias("mark"), F.sum("n").alias("n")).where("id is not null").unionByName(first.where("id is null").groupBy("root").agg(F.min("mark").alias("mark"), F.sum("n").alias("n")).select(F.lit(None).cast("long").alias("id"), "mark", "n"))
+    texts = groups.groupBy("root", "id", "mark").agg(F.count("*").alias("n"))
+    first = texts.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "mark", "n")).alias("one")).select("one.*")
     first = materialize(first.select(F.col("id").alias("__k_id"), F.col("mark").alias("__k_mark"), F.col("n").alias("__k_n")), "first")
     same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__k_id")) & (F.xxhash64(text_col) == F.col("__k_mark"))
     kept = docs.join(first, same)
