@@ -2,14 +2,17 @@
 
 A word's bytes are rows (word, position, token). A recursive query joins neighbouring tokens to the merge table,
 and contracts each word's pair of least rank, leftmost first, until no word has a pair left. Decoding joins ids to
-the vocabulary and aggregates their bytes in order.
+the vocabulary and aggregates their bytes in order. Words of over LONG bytes, whose rounds would each go over all
+their rows, are contracted one after another with a heap of their pairs, to the same tokens.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -23,59 +26,33 @@ from tidelog.llm.common import binary, slices
 SLICE_BYTES = 3 << 20
 #: Ids that one decoding query takes, or one text's.
 DECODED_IDS = 400_000
-#: Words whose ids a Python worker keeps for later texts; beyond it, all are forgotten and found anew.
+#: Words whose ids a Python worker keeps for later texts; beyond it, the least used ones are forgotten and found anew.
 KEPT_WORDS = 400_000
 #: Rounds of a recursive query; words that aren't done go into another one, so its rows stay few.
-ROUNDS = 48
+ROUNDS = 32
 #: Bytes of new words in one recursive query, so that its rows and hash tables fit the engine's memory; a longer word has one to itself.
 QUERY_BYTES = 192 << 10
 
-#: Longest word, in bytes, whose runs of equal pairs are contracted one pair a round.
-SHORT = 96
-
-#: step: a token of word w from byte i to e, with the bytes before and after it (256: none) and the time t by which
-#: the contraction that made it comes (the largest rank on the way to it). A pair of rank r is due at the time
-#: t = max(r, times of its tokens), in each word first the least (t, r), leftmost first. That pair is contracted in
-#: every round. So is any that nothing can come before: ``ahead`` and ``behind`` hold the least rank at which a
-#: token that ends (begins) with a byte can join a token from the left (right); if both are later than t, the pair's
-#: tokens are still there when it is due, and contracting it at once gives the same word.
-PAIRS = """
-    SELECT a.w, a.i, b.i AS j, b.e, a.before, b.after, m.r, greatest(m.r, a.t, b.t) AS t,
-           coalesce(l.r, 2147483647) AS l, coalesce(h.r, 2147483647) AS h
-    FROM step a JOIN step b ON b.i = a.e JOIN merges m ON m.a = a.tok AND m.b = b.tok
-      LEFT JOIN ahead l ON l.tok = a.tok AND l.byte = a.before LEFT JOIN behind h ON h.tok = b.tok AND h.byte = b.after
-    WHERE a.n < {rounds}
-"""
-FREE = "(p.h > p.t OR p.h = p.t AND p.r = p.t)"
-SINGLE = f"SELECT p.* FROM pairs p JOIN due USING (w) WHERE p.l > p.t AND {FREE} OR p.t = due.best.t AND p.r = due.best.r AND p.i = due.best.i"
-#: In long words, all pairs at the least (t, r) are contracted in a round, of a run of overlapping ones every other
-#: from its first on; unless the token they make can join another at a lower rank, which comes between (not calm).
-RUNS = f"""
-    SELECT * EXCLUDE (free, level, joined, k, start) FROM (
-      SELECT *, max(CASE WHEN level AND NOT joined THEN k ELSE 0 END) OVER (PARTITION BY w ORDER BY k) AS start
-      FROM (
-        SELECT *, coalesce(level AND lag(level) OVER word AND lag(j) OVER word = i, false) AS joined, row_number() OVER word AS k
-        FROM (
-          SELECT p.*, p.l > p.t AND {FREE} OR p.t = due.best.t AND p.r = due.best.r AND p.i = due.best.i AS free,
-                 p.t = due.best.t AND p.r = due.best.r AND p.t = p.r AND p.r NOT IN (SELECT r FROM restless) AS level
-          FROM pairs p JOIN due USING (w)
-        ) WINDOW word AS (PARTITION BY w ORDER BY i)
-      )
-    ) WHERE free OR level AND (k - start) % 2 = 0
-"""
-CONTRACT = """
+#: Longest word, in bytes, that goes into a recursive query.
+LONG = 256
+
+#: step: a token of word w from byte i to e after round n. Of each word, the pair of neighbouring tokens with the least rank
+#: is contracted, of equal ones the leftmost; words without a pair are done and aren't carried on.
+CONTRACT = f"""
 WITH RECURSIVE step AS (
-  SELECT w, i, e, tok, t, before, after, 0 AS n FROM fresh
+  SELECT w, i, e, tok, 0 AS n FROM fresh
   UNION ALL (
-  WITH pairs AS MATERIALIZED ({pairs}),
-    due AS (SELECT w, min(struct_pack(t := t, r := r, i := i)) AS best FROM pairs GROUP BY w),
-    chosen AS MATERIALIZED ({chosen})
-  SELECT s.w, s.i, coalesce(c.e, s.e), coalesce(c.r, s.tok), coalesce(c.t, s.t), s.before, coalesce(c.after, s.after), s.n + 1
-  FROM step s LEFT JOIN chosen c ON c.i = s.i
-  WHERE s.w IN (SELECT w FROM due) AND s.i NOT IN (SELECT j FROM chosen)
+  WITH pairs AS MATERIALIZED (
+      SELECT a.w, a.i, b.i AS j, b.e, m.r, (m.r::BIGINT << 32) | a.i AS place
+      FROM step a JOIN step b ON b.i = a.e JOIN merges m ON m.a = a.tok AND m.b = b.tok WHERE a.n < {ROUNDS}),
+    due AS (SELECT w, min(place) AS place FROM pairs GROUP BY w),
+    chosen AS MATERIALIZED (SELECT p.w, p.i, p.j, p.e, p.r FROM pairs p JOIN due ON p.w = due.w AND p.place = due.place)
+  SELECT s.w, s.i, coalesce(l.e, s.e), coalesce(l.r, s.tok), s.n + 1
+  FROM step s JOIN chosen c ON c.w = s.w LEFT JOIN chosen l ON l.i = s.i
+  WHERE s.i <> c.j
   )
 )
-SELECT * FROM step JOIN (SELECT w, max(n) AS n FROM step GROUP BY w) USING (w, n) ORDER BY i
+SELECT * FROM step
 """
 DECODE = "SELECT d, unhex(string_agg(v.hex, '' ORDER BY t.pos)) AS bytes FROM ids t JOIN vocabulary v ON v.id = t.id GROUP BY d ORDER BY d"
 
@@ -100,12 +77,10 @@ class Coder:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         a, b, r = (np.array(x, np.int32) for x in zip(*merges, strict=True)) if merges else (np.empty(0, np.int32),) * 3
         self.table("merges", a=a, b=b, r=r)
-        for name, tok, byte in (("ahead", b, [tokens[x][-1] for x in a.tolist()]), ("behind", a, [tokens[x][0] for x in b.tolist()])):
-            self.table("every", tok=tok, byte=np.array(byte, np.int32), r=r)
-            self.db.execute(f"CREATE TEMP TABLE {name} AS SELECT tok, byte, min(r) AS r FROM every GROUP BY tok, byte")
-        self.table("restless", r=np.array(sorted({x for a, b, r in merges for x in (a, b) if r < x}), np.int32))
         self.table("vocabulary", id=np.arange(len(tokens), dtype=np.int32), hex=pa.array([t.hex() for t in tokens], pa.string()))
-        self.forget()
+        self.known: dict[str, int] = {}
+        self.ids, self.n_ids = np.empty(1 << 16, np.int32), 0
+        self.first, self.count, self.uses = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32), np.zeros(1 << 14, np.int64)
 
     def table(self, name: str, **columns) -> None:
         given = pa.table(columns)
@@ -114,19 +89,29 @@ class Coder:
         self.db.unregister("given")
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.n_ids = np.empty(1 << 16, np.int32), 0
-        self.first, self.count = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
+        """Keep the words used most, half of KEPT_WORDS at most."""
+        uses = self.uses[: len(self.known)]
+        least = max(2, int(np.partition(uses, -(KEPT_WORDS // 2))[-(KEPT_WORDS // 2)]) + 1 if len(uses) > KEPT_WORDS // 2 else 2)
+        kept = np.flatnonzero(uses >= least)
+        words = list(self.known)
+        counts = self.count[kept]
+        ends = np.cumsum(counts, dtype=np.int64)
+        ids = self.ids[np.repeat(self.first[kept] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+        self.known, self.n_ids = {}, 0
+        old = uses[kept] // 2
+        self._keep([words[i] for i in kept.tolist()], ids, counts)
+        self.uses[: len(old)] = old
 
     def _keep(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         k, n = len(self.known), self.n_ids
         while n + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while k + len(words) > len(self.first):
-            self.first, self.count = np.concatenate([self.first, np.empty_like(self.first)]), np.concatenate([self.count, np.empty_like(self.count)])
+            self.first, self.count, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count, self.uses))
         self.ids[n : n + len(ids)] = ids
         self.first[k : k + len(words)] = n + np.cumsum(counts) - counts
         self.count[k : k + len(words)] = counts
+        self.uses[k : k + len(words)] = 0
         self.known.update(zip(words, range(k, k + len(words)), strict=True))
         self.n_ids += len(ids)
 
@@ -136,50 +121,82 @@ class Coder:
         whole = [(w, self.rank[x]) for w, x in zip(words, raw, strict=True) if x in self.rank]
         self._keep([w for w, _ in whole], np.array([r for _, r in whole], np.int32), np.ones(len(whole), np.int32))
         rest = [(w, x) for w, x in zip(words, raw, strict=True) if x not in self.rank]
-        if not rest:
-            return
-        for long in (False, True):
-            some = [(w, x) for w, x in rest if (len(x) > SHORT) is long]
-            start = 0
-            while start < len(some):
-                stop, size = start, 0
-                while stop < len(some) and (stop == start or size + len(some[stop][1]) <= QUERY_BYTES):
-                    size += len(some[stop][1])
-                    stop += 1
-                part = some[start:stop]
-                self._keep([w for w, _ in part], *self._contract([x for _, x in part], RUNS if long else SINGLE))
-                start = stop
-
-    def _contract(self, words: list[bytes], chosen: str) -> tuple[np.ndarray, np.ndarray]:
+        for w, x in rest:
+            if len(x) > LONG:
+                ids = self._contract_long(x)
+                self._keep([w], ids, np.array([len(ids)], np.int32))
+        rest = [(w, x) for w, x in rest if len(x) <= LONG]
+        start = 0
+        while start < len(rest):
+            stop, size = start, 0
+            while stop < len(rest) and (stop == start or size + len(rest[stop][1]) <= QUERY_BYTES):
+                size += len(rest[stop][1])
+                stop += 1
+            self._keep([w for w, _ in rest[start:stop]], *self._contract([x for _, x in rest[start:stop]]))
+            start = stop
+
+    def _contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all words, one after another, and how many each has."""
         sizes = np.array([len(x) for x in words])
-        data = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)  # a gap, so that no word's end is the next one's start
+        data = np.frombuffer(b"\0".join(words), np.uint8)  # a gap, so that no word's end is the next one's start
         inside = np.ones(len(data), bool)
-        inside[np.cumsum(sizes + 1) - 1] = False
-        near = np.where(inside, data, 256).astype(np.int32)
-        i = np.flatnonzero(inside)
-        state = pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "i": i, "e": i + 1, "tok": self.byte[data[i]], "t": np.full(len(i), -1, np.int32), "before": np.r_[256, near][i].astype(np.int32), "after": near[i + 1]})
+        inside[np.cumsum(sizes + 1)[:-1] - 1] = False
+        i = np.flatnonzero(inside).astype(np.int32)
+        state = pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "i": i, "e": i + 1, "tok": self.byte[data[i]]})
         done = []
         while len(state):
             self.table("fresh", **{c: state[c] for c in state.column_names})
-            out = self.db.sql(CONTRACT.format(pairs=PAIRS.format(rounds=ROUNDS), chosen=chosen)).to_arrow_table()
-            more = np.equal(out["n"].to_numpy(), ROUNDS)
-            done.append(out.filter(pa.array(~more)).select(["w", "i", "tok"]))
+            out = self.db.sql(CONTRACT).to_arrow_table()
+            w, n = out["w"].to_numpy(), out["n"].to_numpy()
+            last = np.zeros(len(words), n.dtype)
+            np.maximum.at(last, w, n)
+            final = n == last[w]  # a word's rows of its last round
+            more = final & (n == ROUNDS)
+            done.append(out.filter(pa.array(final & ~more)).select(["w", "i", "tok"]))
             state = out.filter(pa.array(more)).drop_columns(["n"])
         out = pa.concat_tables(done)
         order = np.argsort(out["i"].to_numpy(), kind="stable")
         return out["tok"].to_numpy()[order], np.bincount(out["w"].to_numpy(), minlength=len(words)).astype(np.int32)
 
+    def _contract_long(self, word: bytes) -> np.ndarray:
+        """Token ids of one word, by a heap of (rank, place) of its neighbouring tokens."""
+        n = len(word)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # where the next and the last token begin
+        rank = self.rank.get
+        due = [(r, i, i + 2) for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
+        heapq.heapify(due)
+        gone = bytearray(n + 1)
+        gone[n] = 1
+
+        def offer(i: int, stop: int) -> None:
+            if (r := rank(word[i:stop])) is not None:
+                heapq.heappush(due, (r, i, stop))
+
+        while due:
+            _, i, stop = heapq.heappop(due)
+            j = after[i]
+            if gone[i] or j >= n or after[j] != stop:  # a token of the pair was contracted meanwhile
+                continue
+            gone[j], after[i] = 1, stop
+            if stop < n:
+                before[stop] = i
+                offer(i, after[stop])
+            if before[i] >= 0:
+                offer(before[i], stop)
+        starts = [i for i in range(n) if not gone[i]]
+        return np.array([self.rank[word[i : after[i]]] for i in starts], np.int32)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each text has."""
         cut = [self.split(t) for t in texts]
         if len(self.known) > KEPT_WORDS:
             self.forget()
         known = self.known
-        new = dict.fromkeys(w for words in cut for w in words if w not in known)
+        new = [w for w in set(chain.from_iterable(cut)) if w not in known]
         if new:
-            self.learn(list(new))
-        at = np.fromiter((known[w] for words in cut for w in words), np.int64)
+            self.learn(new)
+        at = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.int64)
+        self.uses[: len(known)] += np.bincount(at, minlength=len(known))
         counts = self.count[at].astype(np.int64)
         ends = np.cumsum(counts)
         where = np.repeat(self.first[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
