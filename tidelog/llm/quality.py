@@ -89,14 +89,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     """One row per document: ``id, host, mark``, the measures, ``base_failed``, ``removed`` (line numbers from 0), ``kept``.
 
     Lines are compared lower-cased (A-Z) with white space collapsed. A line is removed where more than
-    ``line_docs`` distinct documents of its host have it. Copies shall not count as many documents (near copies
-    are another operator's work), so documents of one host with equally many lines and words count once. A
-    document is kept if it passes the base rules and keeps ``least_left`` of its words. A null text has no
-    words and fails; a null host is a host of its own; repeated rows are repeated; no rows give no rows.
+    ``line_docs`` distinct documents of its host have it; documents of equal text are one. A document is kept if
+    it passes the base rules and keeps ``least_left`` of its words. A null text has no words and fails; a null
+    host is a host of its own; repeated rows are repeated; no rows give no rows.
     """
     rows = materialize(measured(docs, id_col, text_col, host_col), "measured")
-    lines = rows.select("id", "host", "mark", "n_words", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line")).select("id", "host", "mark", "n_words", "n_lines", "pos", "line.h", "line.w").where("w > 0")
-    often = lines.select("host", "h", "n_lines", "n_words").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > line_docs).select(F.col("host").alias("o_host"), F.col("h").alias("o_h"))
+    lines = rows.select("id", "host", "mark", F.posexplode("lines").alias("pos", "line")).select("id", "host", "mark", "pos", "line.h", "line.w").where("w > 0")
+    often = lines.select("host", "h", "mark").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > line_docs).select(F.col("host").alias("o_host"), F.col("h").alias("o_h"))
     hit = lines.join(often, F.col("host").eqNullSafe(F.col("o_host")) & (F.col("h") == F.col("o_h")))
     lost = hit.select("id", "host", "mark", "pos", "w").distinct().groupBy("id", "host", "mark").agg(F.sum("w").alias("gone"), F.array_sort(F.collect_set("pos")).alias("removed"))
     lost = lost.select(F.col("id").alias("l_id"), F.col("host").alias("l_host"), F.col("mark").alias("l_mark"), "gone", "removed")
@@ -120,4 +119,5 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
 
 
 def op4_query(docs: DataFrame) -> DataFrame:
+    """The contract's columns and ``n_removed_lines``; a row per row of documents, edge cases as in ``judge``."""
     return judge(docs).select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.size("removed").alias("n_removed_lines"))
