@@ -28,14 +28,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidelog-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again.
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder, with options of the Parquet writer, and read it again.
 
     Cuts the lineage: a lost executor costs a reread, not the work before. Tables stay until ``clear_scratch``.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
