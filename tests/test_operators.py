@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidelog.functions import hashing, partitioning, sketches
-from tidelog.operators import consensus, log, merkle, mergeable, model, replication, segments, sstable, txn
+from tidelog.operators import consensus, log, merkle, mergeable, model, ordered, replication, segments, sstable, txn
 from tidelog.sources import files, serde
 from tidelog.streaming import follow
 
@@ -68,10 +68,18 @@ def test_compaction_keeps_tombstones_over_older_segments(spark):
     assert rows(segments.compact(full, [3]).select("key", "value")) == [(2, "c")]
 
 
-def test_strategies():
-    assert segments.Full(3).select([1, 2]) == [] and segments.Full(3).select([3, 1, 2]) == [1, 2, 3]
-    assert segments.Leveled(2).select([5, 4, 3]) == [3, 4]
-    assert segments.SizeTiered(2).select([1, 2, 3], {1: 100, 2: 5, 3: 110}) == [1, 3]
+def test_strategies(spark):
+    def chosen(strategy, *sizes):
+        return sorted(r["segment_id"] for r in strategy.choose(spark.createDataFrame(sizes, "segment_id long, n_rows long")).collect())
+
+    assert chosen(segments.Full(3), (1, 1), (2, 1)) == [] and chosen(segments.Full(3), (3, 1), (1, 1), (2, 1)) == [1, 2, 3]
+    assert chosen(segments.Leveled(2), (5, 1), (4, 1), (3, 1)) == [3, 4] and chosen(segments.Leveled(2), (5, 1)) == []
+    assert chosen(segments.SizeTiered(2), (1, 100), (2, 5), (3, 110)) == [1, 3]
+    assert chosen(segments.Levels(10, 10), (1, 90), (2, 5), (3, 4), (4, 3)) == [2, 3, 4] and chosen(segments.Levels(10, 10), (1, 90), (2, 5)) == []
+    for bad in ({"capacity": 0}, {"threshold": -1}, {"bloom_rate": 1.0}):
+        with pytest.raises(ValueError):
+            segments.Options(**bad)
+    assert segments.Options().compaction is None and segments.Options(threshold=3).compaction == segments.Full(3)
 
 
 def test_flush_exact_and_roll(spark):
@@ -224,6 +232,58 @@ def test_csv_and_binary_round_trips(spark, tmp_path):
         list(serde.read_entries(blob[:-1] + b"\x05", ["long", "string"]))
 
 
+def test_raw_files(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    files.write_bytes(spark, path, b"ab")
+    files.write_text(spark, path, "é", "append")
+    files.write_text(spark, path, "no", "keep")
+    assert files.read_text(spark, path).first()["text"] == "abé"
+    with pytest.raises(FileExistsError):
+        files.write_bytes(spark, path, b"")
+
+
+def test_unknown_replica(spark):
+    known = spark.createDataFrame([("r0",)], "replica string")
+    with pytest.raises(Exception, match="unknown replica r9"):
+        replication.availability(known, spark.createDataFrame([(1, "r9", True)], "seq long, replica string, available boolean")).collect()
+
+
+@pytest.fixture(params=[True, False], ids=["adaptive", "fixed"])
+def many_ranges(spark, request):
+    """Several range partitions, with and without adaptive execution."""
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.adaptive.enabled", request.param)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    spark.conf.set("spark.sql.shuffle.partitions", 9)
+    yield spark
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_places_over_many_ranges(many_ranges):
+    """Numbers, offsets, running values and as-of lookups with a payload, against plain numpy."""
+    spark, n = many_ranges, 300_000
+    df = spark.range(n).select(((F.col("id") * 7919) % n).alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("payload"), (F.col("id") % 13).alias("size"))
+    found = ordered.numbered(df, "key").where("n != key or payload is null").count(), ordered.numbered(df, "key").agg(F.count_distinct("n")).first()[0]
+    assert found == (0, n)
+    own = df.select("key", "size").toPandas().sort_values("key")
+    at = ordered.offsets(df, "key", F.col("size")).select("key", "offset", "n", "payload").toPandas().sort_values("key")
+    assert len(at) == n and at["offset"].tolist() == (own["size"].cumsum() - own["size"]).tolist() and at["n"].tolist() == list(range(n))
+    big = df.withColumn("g", F.when(F.col("key") < n * 2 // 3, 1).otherwise(F.col("key") % 5))
+    plain = big.select("key", "size", "g").toPandas().sort_values(["g", "key"])
+    for how in ("sum", "max"):
+        seen = ordered.running(big, "size", how, "key", group="g").select("g", "key", "seen", "payload").toPandas().sort_values(["g", "key"])
+        assert seen["seen"].tolist() == getattr(plain.groupby("g")["size"], f"cum{how}")().tolist()
+    index = df.where("key % 1000 = 17").select("key", F.col("size").alias("offset"))
+    hit = sstable.floor_lookup(df.select("key"), index).toPandas().sort_values("key")
+    expected = [None if k < 17 else (k - 17) // 1000 * 1000 + 17 for k in range(n)]
+    assert hit["key"].tolist() == list(range(n)) and [None if pd.isna(x) else int(x) for x in hit["index_key"]] == expected
+    swapped = spark.range(n).select(F.col("id").alias("pos"), F.when(F.col("id") % 50_000 == 5, F.col("id") - 9).otherwise(F.col("id")).alias("key"))
+    assert sorted(r["pos"] for r in sstable.out_of_order(swapped).collect()) == [i for i in range(n) if i % 50_000 == 5]
+    leaves = merkle.leaves(df, "key", "payload")
+    assert leaves.agg(F.count_distinct("pos")).first()[0] == n
+
+
 def test_files(spark, tmp_path):
     path = str(tmp_path / "t")
     files.write(spark.range(3), path)
@@ -245,10 +305,15 @@ def test_streams(spark, tmp_path):
     follow.follow(read(), str(tmp_path / "state"), str(tmp_path / "c1")).awaitTermination()
     put_log(spark, [(1, None, 3, "del"), (2, "c", 4, "put")]).coalesce(1).write.mode("append").parquet(source)
     follow.follow(read(), str(tmp_path / "state"), str(tmp_path / "c1")).awaitTermination()
-    state = spark.read.parquet(str(tmp_path / "state/1"))
-    assert rows(state.where("op = 'put'").select("key", "value")) == [(2, "c")]
+    kinds = "key int, value string, seq long, op string"
+    assert rows(follow.follower_state(spark, str(tmp_path / "state"), kinds).select("key", "value")) == [(2, "c")]
+    for i in range(4):
+        put_log(spark, [(7, f"v{i}", 10 + i, "put"), (2, None, 20 + i, "del")]).coalesce(1).write.mode("append").parquet(source)
+        follow.follow(read(), str(tmp_path / "state"), str(tmp_path / "c1"), segments.Options(threshold=3)).awaitTermination()
+    assert rows(follow.follower_state(spark, str(tmp_path / "state"), kinds).select("key", "value")) == [(7, "v3")]
+    assert segments.read_segments(spark, str(tmp_path / "state"), kinds).select("segment_id").distinct().count() <= 3
     follow.flush_segments(read(), str(tmp_path / "segments"), str(tmp_path / "c2")).awaitTermination()
-    assert rows(log.live(spark.read.parquet(str(tmp_path / "segments")).select("key", "value", "seq", "op"))) == [(2, "c", 4)]
+    assert rows(log.live(spark.read.parquet(str(tmp_path / "segments")).select("key", "value", "seq", "op"))) == [(7, "v3", 13)]
     seen = str(tmp_path / "gossip")
     spark.createDataFrame([("n", "up", 1), ("n", "down", 2)], "node string, state string, version long").coalesce(1).write.parquet(seen)
     follow.gossip(spark.readStream.schema("node string, state string, version long").parquet(seen), str(tmp_path / "known"), str(tmp_path / "c3")).awaitTermination()

@@ -42,12 +42,12 @@ def ring(nodes: DataFrame, vnodes: int = VNODES) -> DataFrame:
     return hashed.groupBy("hash").agg(F.max_by("node", F.struct("ord", "i")).alias("node"))
 
 
-def ring_lookup(keys: DataFrame, places: DataFrame) -> DataFrame:
-    """``key, node``: the first place at or after a key's hash, else the first of all.
+def _at(keys: DataFrame, places: DataFrame, *held: str) -> DataFrame:
+    """``key, held``: columns of the first place at or after each key's hash, else of the first of all.
 
     The ring has nodes x vnodes places, so it is one sorted array beside every key, searched by bisection.
     """
-    sorted_places = places.agg(F.array_sort(F.collect_list(F.struct("hash", "node"))).alias("ring"))
+    sorted_places = places.agg(F.array_sort(F.collect_list(F.struct("hash", *held))).alias("ring"))
     hashed = keys.select("key", signed(murmur3(F.col("key").cast("string"))).alias("h"))
     both = hashed.join(F.broadcast(sorted_places), F.lit(True))
 
@@ -57,14 +57,25 @@ def ring_lookup(keys: DataFrame, places: DataFrame) -> DataFrame:
         return F.struct(F.when(below, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(below | (acc["lo"] >= acc["hi"]), acc["hi"]).otherwise(middle).alias("hi"))
 
     at = F.aggregate(F.sequence(F.lit(1), F.lit(32)), F.struct(F.lit(0).alias("lo"), F.size("ring").alias("hi")), halve, lambda acc: acc["lo"])
-    return both.select("key", F.get("ring", (at % F.size("ring")).cast("int"))["node"].alias("node"))
+    found = both.select("key", F.get("ring", (at % F.size("ring")).cast("int")).alias("place"))
+    return found.select("key", *(F.col(f"place.{c}").alias(c) for c in held))
+
+
+def ring_lookup(keys: DataFrame, places: DataFrame) -> DataFrame:
+    """``key, node``: the first place at or after a key's hash, else the first of all."""
+    return _at(keys, places, "node")
 
 
 def ring_replicas(keys: DataFrame, places: DataFrame, count: int) -> DataFrame:
-    """``key, k, node``: the next ``count`` distinct nodes clockwise, fewer if there are fewer."""
-    hashed = keys.select("key", signed(murmur3(F.col("key").cast("string"))).alias("h"))
-    far = hashed.join(F.broadcast(places), F.lit(True)).groupBy("key", "node").agg(F.min(F.pmod(F.col("hash") - F.col("h"), F.lit(1 << 32))).alias("d"))
-    return far.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("d"))).where(F.col("k") <= count).select("key", "k", "node")
+    """``key, k, node``: the next ``count`` distinct nodes clockwise, fewer if there are fewer.
+
+    They are the same for all keys of a place, so they are found once a place, by pairs of the ring's places, and read off by lookup.
+    """
+    here = places.select(F.col("hash").alias("at"))
+    far = here.join(F.broadcast(places), F.lit(True)).groupBy("at", "node").agg(F.min(F.pmod(F.col("hash") - F.col("at"), F.lit(1 << 32))).alias("d"))
+    near = far.groupBy("at").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "node"))), 1, count).alias("near"))  # a row a node in each
+    nodes = near.select(F.col("at").alias("hash"), F.transform("near", lambda x: x["node"]).alias("nodes"))
+    return _at(keys, nodes, "nodes").select("key", F.posexplode("nodes").alias("k", "node")).select("key", (F.col("k") + 1).alias("k"), "node")
 
 
 def rendezvous(keys: DataFrame, nodes: DataFrame, count: int = 1) -> DataFrame:

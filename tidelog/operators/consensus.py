@@ -40,3 +40,18 @@ def divergence(leader: DataFrame, followers: DataFrame) -> DataFrame:
     """``node, first_conflict``: the first index at which a follower's entry has another term than the leader's."""
     mine = leader.select("idx", F.col("term").alias("leader_term"))
     return followers.join(mine, "idx").where(F.col("term") != F.col("leader_term")).groupBy("node").agg(F.min("idx").alias("first_conflict"))
+
+
+def append_entries(log: DataFrame, entries: DataFrame, previous_index: int, previous_term: int) -> DataFrame:
+    """``idx, term, command`` of a follower's log after it got a leader's entries.
+
+    They are refused, and the log stays, unless it has the previous entry with its term (an index of -1 always
+    matches). The log is cut off at the first entry of another term than the leader's, and the leader's are added.
+    """
+    matches = F.broadcast(log.where((F.col("idx") == previous_index) & (F.col("term") == previous_term)).agg((F.count("*") > 0).alias("ok")))  # one row
+    sent = entries.select("idx", F.col("term").alias("sent"))
+    cut = F.broadcast(log.join(sent, "idx").where(F.col("term") != F.col("sent")).agg(F.min("idx").alias("cut")))  # one row
+    ok = F.col("ok") | F.lit(previous_index < 0)
+    kept = log.join(matches, F.lit(True)).join(cut, F.lit(True)).where(~ok | F.col("cut").isNull() | (F.col("idx") < F.col("cut"))).select("idx", "term", "command")
+    added = entries.join(matches, F.lit(True)).where(ok).select("idx", "term", "command")
+    return kept.join(added.select("idx"), "idx", "left_anti").unionByName(added)

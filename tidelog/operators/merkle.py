@@ -7,7 +7,8 @@ from hashlib import sha256
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.operators.segments import numbered
+from tidelog.operators.ordered import numbered
+from tidelog.scratch import materialize
 
 EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
@@ -20,15 +21,16 @@ def leaves(blocks: DataFrame, order: str, block: str) -> DataFrame:
 def tree(leaf: DataFrame) -> DataFrame:
     """``level, pos, hash`` of all levels, leaves at 0. Padding isn't stored as rows: an all-padding subtree's hash is a constant of its level.
 
-    The loop runs once a level, over half the rows each time, and is one lazy plan.
+    The loop runs once a level, over half the rows each time; each level is written, and the next one reads it.
     """
-    n = leaf.count()
-    levels = max(n - 1, 0).bit_length()
-    now, out, pad = leaf, leaf.select(F.lit(0).alias("level"), "pos", "hash"), F.lit(EMPTY)
+    leaf = materialize(leaf.select("pos", "hash"), "merkle")
+    levels = max(leaf.count() - 1, 0).bit_length()
+    pads = pad_hashes(levels)
+    now, out = leaf, leaf.select(F.lit(0).alias("level"), "pos", "hash")
     for level in range(1, levels + 1):
-        pair = now.groupBy(F.floor(F.col("pos") / 2).cast("long").alias("up")).agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("hash"))).alias("l"), F.max(F.when(F.col("pos") % 2 == 1, F.col("hash"))).alias("r"))
-        now = pair.select(F.col("up").alias("pos"), F.sha2(F.unhex(F.concat(F.coalesce("l", pad), F.coalesce("r", pad))), 256).alias("hash"))
-        pad = F.sha2(F.unhex(F.concat(pad, pad)), 256)
+        side = lambda bit: F.coalesce(F.max(F.when(F.col("pos") % 2 == bit, F.col("hash"))), F.lit(pads[level - 1]))  # noqa: B023, E731
+        pair = now.groupBy(F.shiftright("pos", 1).alias("up")).agg(F.concat(side(0), side(1)).alias("both"))
+        now = materialize(pair.select(F.col("up").alias("pos"), F.sha2(F.unhex("both"), 256).alias("hash")), "merkle")
         out = out.unionByName(now.select(F.lit(level).alias("level"), "pos", "hash"))
     return out
 
@@ -42,8 +44,8 @@ def root_of(leaf: DataFrame, step: int = 10) -> DataFrame:
 
     A group has 2 ** step hashes at most. No leaves have no root.
     """
-    n = leaf.count()
-    levels, done, now = max(n - 1, 0).bit_length(), 0, leaf.select("pos", "hash")
+    leaf = materialize(leaf.select("pos", "hash"), "merkle")
+    levels, done, now = max(leaf.count() - 1, 0).bit_length(), 0, leaf
     pads = pad_hashes(levels)
 
     def fold(hashes: Column, level: int) -> Column:
@@ -79,6 +81,31 @@ def proof(nodes: DataFrame, index: int, n: int) -> DataFrame:
     return F.broadcast(wanted).join(nodes, ["level", "pos"], "left").select("level", F.coalesce("hash", "pad").alias("sibling"))
 
 
+def proofs(nodes: DataFrame, indexes: DataFrame, n: int) -> DataFrame:
+    """``idx, leaf, siblings``: proofs of many of a tree's n blocks; a block's number that isn't below n has none."""
+    levels = max(n - 1, 0).bit_length()
+    pads = F.array(*(F.lit(h) for h in pad_hashes(levels)))
+    path = indexes.where(F.col("idx").between(0, n - 1)).select("idx", F.explode(F.sequence(F.lit(-1), F.lit(levels - 1))).alias("step"))  # step -1: the leaf itself
+    wanted = path.select("idx", "step", F.greatest("step", F.lit(0)).alias("level"), F.when(F.col("step") < 0, F.col("idx")).otherwise(F.call_function("shiftright", F.col("idx"), F.greatest("step", F.lit(0))).bitwiseXOR(F.lit(1))).cast("long").alias("pos"))
+    found = wanted.join(nodes, ["level", "pos"], "left").select("idx", "step", F.coalesce("hash", F.get(pads, F.col("level"))).alias("hash"))
+    ordered = found.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("step", "hash"))).alias("p"))  # a hash a level
+    return ordered.select("idx", F.get("p", F.lit(0))["hash"].alias("leaf"), F.transform(F.slice("p", 2, levels) if levels else F.array().cast("array<struct<step:int,hash:string>>"), lambda x: x["hash"]).alias("siblings"))
+
+
+def verify_proofs(own: DataFrame, expected: str) -> DataFrame:
+    """``idx, ok``: whether each leaf's hash, folded with its siblings by the bits of its number, gives the root."""
+    step = lambda acc, other: F.struct(
+        F.sha2(F.unhex(F.when(acc["at"] % 2 == 1, F.concat(other, acc["hash"])).otherwise(F.concat(acc["hash"], other))), 256).alias("hash"), F.floor(acc["at"] / 2).alias("at")
+    )
+    start = F.struct(F.col("leaf").alias("hash"), F.col("idx").cast("long").alias("at"))
+    return own.select("idx", F.aggregate("siblings", start, step, lambda acc: acc["hash"] == expected).alias("ok"))
+
+
+def verify(blocks: DataFrame, order: str, block: str, expected: str) -> DataFrame:
+    """``intact``: whether the blocks have the expected root."""
+    return root_of(leaves(blocks, order, block)).select((F.col("root") == expected).alias("intact"))
+
+
 def verify_proof(leaf_hash: str, index: int, siblings: list[str], expected: str) -> bool:
     """Whether a leaf's hash, folded with its siblings by the bits of its number, gives the root."""
     for level, other in enumerate(siblings):

@@ -6,12 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators.log import live
+from tidelog.operators.ordered import previous, running
 
 
 def entries_after(log: DataFrame, seq: int) -> DataFrame:
     return log.where(F.col("seq") > seq)
 
 
+def refused_appends(entries: DataFrame) -> DataFrame:
+    """``pos, seq`` of entries, in order of arrival, whose number isn't above 0 and above all that came before; a log takes none of them."""
+    seen = running(entries.select("pos", "seq", F.col("seq").alias("_s")), "_s", "max", "pos")
+    numbers = previous(seen.select("pos", "seq", "seen"), "seen", "pos")
+    return numbers.where((F.col("seq") <= 0) | (F.col("seq") <= F.col("before"))).select("pos", "seq")
+
+
 def latest_seq(log: DataFrame) -> DataFrame:
     return log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("latest_seq"))
 
@@ -36,6 +44,15 @@ def check_quorum(n: int, w: int, r: int) -> None:
         raise ValueError("needs 1 <= W, R <= N and W + R > N")
 
 
+def availability(replicas: DataFrame, changes: DataFrame) -> DataFrame:
+    """``replica, available``: the last of ``(seq, replica, available)`` decides, and all are available at first; an unknown replica is an error."""
+    known = replicas.select("replica", F.lit(True).alias("known"))
+    last = changes.groupBy("replica").agg(F.max_by("available", "seq").alias("available"))
+    both = F.broadcast(known).join(last, "replica", "full")
+    unknown = F.raise_error(F.concat(F.lit("unknown replica "), F.col("replica"))).cast("boolean")
+    return both.select("replica", F.when(F.col("known").isNull(), unknown).otherwise(F.coalesce("available", F.lit(True))).alias("available"))
+
+
 def quorum_write(writes: DataFrame, available: DataFrame, w: int) -> DataFrame:
     """``version, replica, success``: each write goes to the first W available replicas; fewer are kept, without success."""
     placed = writes.select("version").join(F.broadcast(available.select("version_from", "version_to", "replica")), F.col("version").between(F.col("version_from"), F.col("version_to")))

@@ -5,23 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.operators.log import PUT, latest
-
-
-def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """``n``: the row's place from 0 in a total order.
-
-    Rows are range-partitioned by the order, numbered within partitions, and shifted by the partitions' counts,
-    so no task sees more than its range. The order must be total: equal rows may fall into either place.
-    """
-    parts = df.repartitionByRange(*(F.col(c) for c in order)).withColumn("_p", F.spark_partition_id())
-    parts = parts.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_b", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", F.coalesce("_b", F.lit(0)).alias("_b"))
-    return parts.join(F.broadcast(before), "_p").withColumn("n", F.col("_b") + F.col("_k") - 1).drop("_p", "_k", "_b")
+from tidelog.functions.sketches import bloom_size, with_positions
+from tidelog.operators.log import DELETE, PUT, latest, live, multi_get
+from tidelog.operators.ordered import numbered, offsets, running
+from tidelog.scratch import scratch_path
 
 
 def flush(log: DataFrame, capacity: int) -> DataFrame:
@@ -32,7 +22,7 @@ def flush(log: DataFrame, capacity: int) -> DataFrame:
 def flush_exact(log: DataFrame, capacity: int, store: str = "store") -> DataFrame:
     """``store, seq, key, segment_id`` where keys repeat: a put to a full buffer flushes it first, an overwrite too.
 
-    The rule is a fold over the puts of a store, so it runs once a store, in parallel over stores, and streams.
+    The rule is a fold over the puts of a store, whose number and keys are in one task; stores run in parallel.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -52,14 +42,54 @@ def flush_exact(log: DataFrame, capacity: int, store: str = "store") -> DataFram
 
 
 def catalog(segments: DataFrame) -> DataFrame:
-    """Rows, distinct keys and key range of each segment."""
-    return segments.groupBy("segment_id").agg(F.count("*").alias("n_rows"), F.count_distinct("key").alias("n_keys"), F.min("key").alias("min_key"), F.max("key").alias("max_key"))
+    """Rows, distinct keys, key range and sequence range of each segment."""
+    of = lambda f, c: f(c).alias(f"{f.__name__}_{c}")
+    return segments.groupBy("segment_id").agg(F.count("*").alias("n_rows"), F.count_distinct("key").alias("n_keys"), of(F.min, "key"), of(F.max, "key"), of(F.min, "seq"), of(F.max, "seq"))
 
 
 def read_amplification(segments: DataFrame) -> DataFrame:
-    """How many segments a lookup of each key has to consider by their key ranges."""
-    ranges = F.broadcast(catalog(segments).select("min_key", "max_key"))  # a row a segment
-    return segments.select("key").distinct().join(ranges, F.col("key").between(F.col("min_key"), F.col("max_key"))).groupBy("key").agg(F.count("*").alias("n_segments"))
+    """``key, n_segments``: how many segments a lookup of each key has to consider by their key ranges.
+
+    Ranges that have begun less those that have ended, as a running sum over the sorted ends and keys.
+    """
+    ranges = segments.groupBy("segment_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    end = lambda c, kind, d: ranges.select(F.col(c).alias("key"), F.lit(kind).alias("kind"), F.lit(d).alias("d"))
+    keys = segments.select("key").distinct().select("key", F.lit(1).alias("kind"), F.lit(0).alias("d"))
+    at = running(keys.unionByName(end("lo", 0, 1)).unionByName(end("hi", 2, -1)), "d", "sum", "key", "kind")
+    return at.where("kind = 1").select("key", F.col("seen").alias("n_segments"))
+
+
+def segment_filters(segments: DataFrame, rate: float = 0.01) -> tuple[DataFrame, int, int]:
+    """``segment_id, pos``: a Bloom filter of each segment's keys, and their bits and hashes, sized for the largest segment."""
+    most = segments.groupBy("segment_id").agg(F.count_distinct("key").alias("n")).agg(F.max("n")).first()[0]
+    bits, hashes = bloom_size(most or 1, rate)
+    at = with_positions(segments.select("segment_id", "key").distinct(), "key", bits, hashes)
+    return at.select("segment_id", F.explode("positions").alias("pos")).distinct(), bits, hashes
+
+
+def guarded_get(segments: DataFrame, wanted: DataFrame, filters: DataFrame, bits: int, hashes: int) -> DataFrame:
+    """``key, value, found, n_maybe``: lookups that skip segments whose filter has not all of a key's positions.
+
+    ``n_maybe`` segments are left for a key; of their rows the last decides, as in a lookup without filters.
+    """
+    keys = wanted.select("key").distinct()
+    at = with_positions(keys, "key", bits, hashes).select("key", F.explode(F.array_distinct("positions")).alias("pos"), F.size(F.array_distinct("positions")).alias("n"))
+    maybe = at.join(filters, "pos").groupBy("key", "n", "segment_id").agg(F.count("*").alias("hits")).where("hits = n").select("key", "segment_id")
+    held = live(segments.join(maybe, ["key", "segment_id"], "left_semi"))
+    counts = maybe.groupBy("key").agg(F.count("*").alias("n_maybe"))
+    joined = keys.join(held, "key", "left").join(counts, "key", "left")
+    return joined.select("key", "value", F.col("seq").isNotNull().alias("found"), F.coalesce("n_maybe", F.lit(0)).cast("long").alias("n_maybe"))
+
+
+def filtered_get(log: DataFrame, wanted: DataFrame, filter_: DataFrame, bits: int, hashes: int) -> DataFrame:
+    """``key, value, found, asked``: lookups in a store behind one Bloom filter of all keys ever put; keys that it rules out aren't looked up.
+
+    The filter is derived from the log, so it has no key missing; deletes leave it as it is.
+    """
+    at = with_positions(wanted.select("key").distinct(), "key", bits, hashes).select("key", F.explode("positions").alias("pos"))
+    asked = at.join(filter_.select("pos", F.lit(1).alias("one")), "pos", "left").groupBy("key").agg((F.count("one") == F.count("*")).alias("asked"))
+    held = multi_get(log, asked.where("asked"))
+    return asked.join(held, "key", "left").select("key", "value", F.coalesce("found", F.lit(False)).alias("found"), "asked")
 
 
 @dataclass(frozen=True)
@@ -68,22 +98,23 @@ class Full:
 
     threshold: int = 2
 
-    def select(self, ids: list[int]) -> list[int]:
-        return sorted(ids) if len(ids) >= max(2, self.threshold) else []
+    def choose(self, sizes: DataFrame) -> DataFrame:
+        """``segment_id`` of what to merge, of a relation ``(segment_id, n_rows)``."""
+        n = sizes.agg(F.count("*").alias("n"))  # one row
+        return sizes.join(F.broadcast(n), F.col("n") >= max(2, self.threshold)).select("segment_id")
 
 
 @dataclass(frozen=True)
 class SizeTiered:
-    """Segments of one size class (sizes within a factor of two), once there are ``least`` of it; ids go with sizes."""
+    """Segments of one size class (row numbers with as many binary digits), once there are ``least`` of it; of several classes, that of the oldest segment."""
 
     least: int = 4
 
-    def select(self, ids: list[int], sizes: dict[int, int] | None = None) -> list[int]:
-        tiers: dict[int, list[int]] = {}
-        for i in ids:
-            tiers.setdefault((sizes or {}).get(i, 0).bit_length(), []).append(i)
-        full = [sorted(t) for t in tiers.values() if len(t) >= self.least]
-        return min(full, default=[])
+    def choose(self, sizes: DataFrame) -> DataFrame:
+        tier = F.length(F.bin("n_rows"))
+        full = sizes.groupBy(tier.alias("tier")).agg(F.count("*").alias("c"), F.min("segment_id").alias("first")).where(F.col("c") >= self.least)
+        one = full.agg(F.min_by("tier", "first").alias("tier"))  # one row
+        return sizes.join(F.broadcast(one), tier == F.col("tier")).select("segment_id")
 
 
 @dataclass(frozen=True)
@@ -92,22 +123,67 @@ class Leveled:
 
     level0: int = 4
 
-    def select(self, ids: list[int]) -> list[int]:
-        return sorted(ids)[: self.level0] if len(ids) >= self.level0 else []
+    def choose(self, sizes: DataFrame) -> DataFrame:
+        oldest = sizes.select("segment_id").orderBy("segment_id").limit(self.level0)  # as many rows
+        n = sizes.agg(F.count("*").alias("n"))
+        return oldest.join(F.broadcast(n), F.col("n") >= self.level0).select("segment_id")
+
+
+@dataclass(frozen=True)
+class Levels:
+    """Levels of ``base`` rows, each ``multiplier`` times as large as the one before: the segments of the first level that holds more than it may.
+
+    A segment is of the first level that could hold it alone.
+    """
+
+    base: int = 1000
+    multiplier: int = 10
 
+    def choose(self, sizes: DataFrame) -> DataFrame:
+        level = F.greatest(F.ceil(F.log(F.col("n_rows") / self.base) / F.log(F.lit(float(self.multiplier))) - 1e-9), F.lit(0))
+        leveled = sizes.withColumn("level", level)
+        sums = leveled.groupBy("level").agg(F.sum("n_rows").alias("held"), F.count("*").alias("c")).where((F.col("c") > 1) & (F.col("held") > self.base * F.pow(F.lit(float(self.multiplier)), "level")))
+        one = sums.agg(F.min("level").alias("full"))  # one row
+        return leveled.join(F.broadcast(one), F.col("level") == F.col("full")).select("segment_id")
+
+
+@dataclass(frozen=True)
+class Options:
+    """How a log-structured store behaves: keys in its buffer, segments at which it compacts (0: never), or a strategy that decides."""
 
-def compact(segments: DataFrame, chosen: list[int], into: int | None = None) -> DataFrame:
+    capacity: int = 1000
+    threshold: int = 0
+    strategy: Full | SizeTiered | Leveled | Levels | None = None
+    bloom_rate: float | None = None
+
+    def __post_init__(self) -> None:
+        if self.capacity < 1:
+            raise ValueError("the buffer must hold a key")
+        if self.threshold < 0:
+            raise ValueError("the threshold can't be negative")
+        if self.bloom_rate is not None and not 0 < self.bloom_rate < 1:
+            raise ValueError("a false-positive rate is between 0 and 1")
+
+    @property
+    def compaction(self) -> Full | SizeTiered | Leveled | Levels | None:
+        return self.strategy or (Full(self.threshold) if self.threshold else None)
+
+
+def compact(segments: DataFrame, chosen: DataFrame | list[int], into: int | None = None) -> DataFrame:
     """All segments after the chosen ones are merged into one, numbered as the last of them unless ``into`` is given.
 
     Each key keeps its last row. Tombstones go only if no segment older than the chosen ones is left, where they
-    would still hide something. Fewer than two chosen segments change nothing.
+    would still hide something. Fewer than two chosen segments change nothing. Of the choice, which is joined, only
+    its number and ends come to the driver.
     """
-    if len(chosen) < 2:
+    ids = chosen if isinstance(chosen, DataFrame) else segments.sparkSession.createDataFrame([(i,) for i in chosen], "segment_id long")
+    ids = ids.select("segment_id").distinct()
+    span = ids.agg(F.count("*").alias("n"), F.min("segment_id").alias("first"), F.max("segment_id").alias("last")).first()
+    if span["n"] < 2:
         return segments
-    inside = F.col("segment_id").isin(chosen)
-    merged = latest(segments.where(inside)).withColumn("segment_id", F.lit(max(chosen) if into is None else into).cast("long"))
-    rest = segments.where(~inside)
-    if rest.where(F.col("segment_id") < min(chosen)).isEmpty():
+    merged = latest(segments.join(ids, "segment_id", "left_semi")).withColumn("segment_id", F.lit(span["last"] if into is None else into).cast("long"))
+    rest = segments.join(ids, "segment_id", "left_anti")
+    if rest.where(F.col("segment_id") < span["first"]).isEmpty():
         merged = merged.where(F.col("op") == PUT)
     return rest.select(*merged.columns).unionByName(merged)
 
@@ -122,6 +198,68 @@ def compact_log(log: DataFrame) -> DataFrame:
     return log.groupBy("key").agg(F.max(F.struct("seq", "value")).alias("last"), F.min("seq").alias("first_seq")).select("key", "last.value", "first_seq")
 
 
+def read_segments(spark: SparkSession, path: str, schema: str = "key long, value string, seq long, op string") -> DataFrame:
+    """The rows of all ``segment_id=N`` folders under ``path``, which a store finds when it opens; none if there is no folder."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop) or not any("=" in f.getPath().getName() for f in fs.listStatus(hadoop)):
+        return spark.createDataFrame([], f"{schema}, segment_id long")
+    return spark.read.schema(f"{schema}, segment_id long").parquet(path)
+
+
+def next_segment(segments: DataFrame) -> DataFrame:
+    return segments.agg(F.coalesce(F.max("segment_id") + 1, F.lit(0)).alias("next_id"))
+
+
+def compact_folder(spark: SparkSession, path: str, strategy: Full | SizeTiered | Leveled | Levels, schema: str = "key long, value string, seq long, op string") -> bool:
+    """Merge what the strategy chooses among the segment folders under ``path``; whether anything was.
+
+    The merged segment, tombstones included, replaces the last chosen one before the others go, so a crash leaves
+    rows twice, which reads resolve, but loses none. Tombstones go when it is the oldest that is left.
+    """
+    own = read_segments(spark, path, schema)
+    ids = sorted(r["segment_id"] for r in strategy.choose(own.groupBy("segment_id").agg(F.count("*").alias("n_rows"))).collect())  # folder names to delete
+    if len(ids) < 2:
+        return False
+    jvm = spark.sparkContext._jvm
+    folder = lambda i: f"{path}/segment_id={i}"
+    merged = latest(own.where(F.col("segment_id").between(ids[0], ids[-1])).join(spark.createDataFrame([(i,) for i in ids], "segment_id long"), "segment_id", "left_semi"))
+
+    def replace(rows: DataFrame, i: int) -> None:
+        held = scratch_path(spark, "merged")
+        write_segment(rows, held)
+        spark.read.schema(rows.schema).parquet(held).write.mode("overwrite").parquet(folder(i))
+
+    replace(merged, ids[-1])
+    for i in ids[:-1]:
+        where = jvm.org.apache.hadoop.fs.Path(folder(i))
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    left = read_segments(spark, path, schema)
+    if left.where(F.col("segment_id") < ids[-1]).isEmpty():
+        replace(left.where((F.col("segment_id") == ids[-1]) & (F.col("op") != DELETE)).drop("segment_id"), ids[-1])
+    return True
+
+
+def compact_indexed(log: DataFrame, size: Column) -> DataFrame:
+    """``key, value, first_seq, offset, count``: the rewritten file of ``compact_log`` and where each entry is in it."""
+    found = offsets(compact_log(log), "first_seq", size)
+    return found.select("key", "value", "first_seq", "offset", F.col("size").alias("count"))
+
+
+def refused_puts(entries: DataFrame, most: int, store: str = "store") -> DataFrame:
+    """``store, seq``: puts into a segment file that held ``most`` bytes or more already, of entries ``(store, seq, size)``."""
+    return running(entries.select(store, "seq", "size"), "size", "sum", "seq", group=store).where(F.col("seen") - F.col("size") >= most).select(store, "seq")
+
+
+def merge_small(sizes: DataFrame, most: int, store: str = "store") -> DataFrame:
+    """``store, segment_id, merged_id``: after compaction, a segment is joined to those before it while they hold less than ``most`` bytes together.
+
+    ``sizes``: ``(store, segment_id, size)``, a row a segment.
+    """
+    rolled = roll(sizes.select(store, F.col("segment_id").alias("seq"), "size"), most, store)
+    return rolled.select(store, F.col("seq").alias("segment_id"), F.col("segment_id").alias("merged_id"))
+
+
 def roll(entries: DataFrame, most: int, store: str = "store") -> DataFrame:
     """``store, seq, size, segment_id``: an entry opens a new segment if the current one has ``most`` bytes or more."""
 
@@ -139,6 +277,11 @@ def roll(entries: DataFrame, most: int, store: str = "store") -> DataFrame:
     return entries.select(store, "seq", "size").groupBy(store).applyInPandas(fold, f"{store} {dict(entries.dtypes)[store]}, seq long, size long, segment_id long")
 
 
+def truncate(frames: DataFrame, flushed: int) -> DataFrame:
+    """What a write-ahead log still holds once all up to a sequence number is in segments."""
+    return frames.where(F.col("seq") > flushed)
+
+
 def wal_frames(log: DataFrame, payload: Column) -> DataFrame:
     """``seq, payload, length, crc``: what a write-ahead log stores of each entry."""
     own = log.select("seq", F.encode(payload, "UTF-8").alias("payload"))

@@ -2,34 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.operators.segments import numbered
+from tidelog.operators.ordered import numbered, offsets, previous, running
 
-
-def out_of_order(entries: DataFrame) -> DataFrame:
-    """Entries ``(pos, key)`` whose key isn't above the one before; a sorted table is refused if there are any.
-
-    A partition's first entry is held against the last of the one before, so entries aren't gathered in one task.
-    """
-    parts = entries.repartitionByRange("pos").withColumn("p", F.spark_partition_id())
-    inner = parts.withColumn("before", F.lag("key").over(Window.partitionBy("p").orderBy("pos")))
-    ends = parts.groupBy("p").agg(F.max(F.struct("pos", "key")).alias("end")).select("p", F.col("end.key").alias("end"))
-    carried = ends.select("p", F.lag("end").over(Window.orderBy("p")).alias("carried"))  # a row a partition
-    joined = inner.join(F.broadcast(carried), "p").select("pos", "key", F.coalesce("before", "carried").alias("before"))
-    return joined.where(F.col("key") <= F.col("before")).select("pos", "key")
+__all__ = ["floor_lookup", "merge", "offsets", "out_of_order", "place", "secondary_index", "secondary_lookup", "sparse_index"]
 
 
-def offsets(entries: DataFrame, order: str, size: Column) -> DataFrame:
-    """``n`` and byte ``offset`` of each entry in a file of all entries in order; sizes are summed per partition, then across."""
-    parts = entries.withColumn("size", size.cast("long")).repartitionByRange(order).withColumn("_p", F.spark_partition_id())
-    own = Window.partitionBy("_p").orderBy(order)
-    parts = parts.withColumns({"_k": F.row_number().over(own), "_o": F.coalesce(F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    sums = parts.groupBy("_p").agg(F.count("*").alias("c"), F.sum("size").alias("s"))  # a row a partition
-    sums = sums.select("_p", F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("_c"), F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("_s"))
-    return parts.join(F.broadcast(sums), "_p").withColumns({"n": F.col("_c") + F.col("_k") - 1, "offset": F.col("_s") + F.col("_o")}).drop("_p", "_k", "_o", "_c", "_s")
+def out_of_order(entries: DataFrame) -> DataFrame:
+    """Entries ``(pos, key)`` whose key isn't above the one before; a sorted table is refused if there are any. Null keys aren't compared."""
+    return previous(entries, "key", "pos").where(F.col("key") <= F.col("before")).select("pos", "key")
 
 
 def sparse_index(entries: DataFrame, order: str, size: Column, interval: int) -> DataFrame:
@@ -40,16 +23,12 @@ def sparse_index(entries: DataFrame, order: str, size: Column, interval: int) ->
 def floor_lookup(probes: DataFrame, index: DataFrame) -> DataFrame:
     """For each probe ``key``, the greatest index ``key`` at or below it and its offset; null if there is none.
 
-    An as-of join: both sides are sorted together per range of keys, and the last index entry seen is carried
-    on; ranges without an index entry before a probe take the last one of the ranges before.
+    An as-of join: both sides are in one order, where the greatest index entry so far is carried on.
     """
-    both = probes.select("key", F.lit(1).alias("kind"), F.lit(None).cast("struct<k:long,o:long>").alias("e")).unionByName(index.select("key", F.lit(0).alias("kind"), F.struct(F.col("key").cast("long").alias("k"), F.col("offset").cast("long").alias("o")).alias("e")))
-    parts = both.repartitionByRange("key").withColumn("p", F.spark_partition_id())
-    inner = parts.withColumn("at", F.last("e", ignorenulls=True).over(Window.partitionBy("p").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)))
-    ends = parts.groupBy("p").agg(F.max("e").alias("end"))  # a row a partition
-    carried = ends.select("p", F.last("end", ignorenulls=True).over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    found = inner.where("kind = 1").join(F.broadcast(carried), "p").select("key", F.coalesce("at", "carried").alias("e"))
-    return found.select("key", F.col("e.k").alias("index_key"), F.col("e.o").alias("offset"))
+    entry = "struct<k:long,o:long>"
+    both = probes.select("key", F.lit(1).alias("kind"), F.lit(None).cast(entry).alias("e")).unionByName(index.select("key", F.lit(0).alias("kind"), F.struct(F.col("key").cast("long").alias("k"), F.col("offset").cast("long").alias("o")).alias("e")))
+    found = running(both, "e", "max", "key", "kind").where("kind = 1")
+    return found.select("key", F.col("seen.k").alias("index_key"), F.col("seen.o").alias("offset"))
 
 
 def merge(mine: DataFrame, other: DataFrame) -> DataFrame:
@@ -59,8 +38,11 @@ def merge(mine: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def secondary_index(rows: DataFrame, extracted: Column, key: str = "key") -> DataFrame:
-    """``index_key, keys``: sorted distinct primary keys of each extracted value; rows without one aren't indexed."""
-    return rows.select(extracted.alias("index_key"), F.col(key).alias("k")).where("index_key is not null").groupBy("index_key").agg(F.sort_array(F.collect_set("k")).alias("keys"))
+    """``index_key, key``: the distinct primary keys of each extracted value, a row each; rows without a value aren't indexed.
+
+    A value that most keys have is many rows, not one long one. Written sorted by both, a lookup reads a few row groups.
+    """
+    return rows.select(extracted.alias("index_key"), F.col(key).alias("key")).where("index_key is not null").distinct()
 
 
 def secondary_lookup(rows: DataFrame, extracted: Column, wanted, key: str = "key") -> DataFrame:

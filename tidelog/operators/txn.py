@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.ordered import running
+from tidelog.scratch import materialize
+
 
 def states(ops: DataFrame) -> DataFrame:
     """``txn, begin_seq, end_seq, state``; the first commit or abort decides, and without one it is active."""
@@ -16,36 +19,54 @@ def states(ops: DataFrame) -> DataFrame:
 
 
 def snapshot_reads(ops: DataFrame) -> DataFrame:
-    """``seq, txn, key, value``: what every read sees: the last write before it that is its own or was committed when its transaction began."""
-    known = states(ops)
-    began = known.select("txn", "begin_seq")
-    committed = known.where("state = 'committed'").select(F.col("txn").alias("w_txn"), F.col("end_seq").alias("w_end"))
-    reads = ops.where("op = 'read'").join(began, "txn").select("seq", "txn", "key", "begin_seq")
-    writes = ops.where("op = 'write'").select(F.col("seq").alias("w_seq"), F.col("txn").alias("w_txn"), "key", "value").join(committed, "w_txn", "left")
-    seen = (F.col("w_seq") < F.col("seq")) & ((F.col("w_txn") == F.col("txn")) | (F.col("w_end") < F.col("begin_seq")))
-    best = reads.join(writes, "key").where(seen).groupBy("seq").agg(F.max(F.struct("w_seq", "value")).alias("best"))
-    return reads.join(best, "seq", "left").select("seq", "txn", "key", F.col("best.value").alias("value"))
+    """``seq, txn, key, value``: what every read sees: the last write before it that is its own or was committed when its transaction began.
+
+    Two lookups in time, no pairs of reads and writes: the last own write so far in each transaction, and the last
+    write among those of each key that were committed before the transaction began. What comes after its
+    transaction's end isn't written.
+    """
+    rows = ops.where("op in ('read', 'write')").join(states(ops), "txn")
+    version = F.struct(F.col("seq").alias("w_seq"), "value")
+    mine = Window.partitionBy("txn", "key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("own", F.max(F.when(F.col("op") == "write", version)).over(mine))
+    reads = rows.where("op = 'read'").select("key", F.col("begin_seq").alias("t"), F.lit(0).alias("kind"), "seq", "txn", "own", F.lit(None).cast("struct<w_seq:long,value:string>").alias("version"))
+    writes = rows.where("op = 'write' and state = 'committed' and seq < end_seq").select("key", F.col("end_seq").alias("t"), F.lit(1).alias("kind"), "seq", "txn", F.lit(None).cast("struct<w_seq:long,value:string>").alias("own"), version.alias("version"))
+    seen = running(reads.unionByName(writes), "version", "max", "t", "kind", "seq", group="key").where("kind = 0")
+    return seen.select("seq", "txn", "key", F.greatest("own", "seen")["value"].alias("value"))
 
 
 def conflict_pairs(ops: DataFrame) -> DataFrame:
-    """Pairs ``(reader, writer)`` of concurrent transactions that both committed where one read a key the other wrote."""
-    known = states(ops).where("state = 'committed'")
-    side = lambda op, name: ops.where(F.col("op") == op).select("txn", "key").distinct().join(known, "txn").select("key", F.col("txn").alias(name), F.col("begin_seq").alias(f"{name}_b"), F.col("end_seq").alias(f"{name}_e"))
-    both = side("read", "reader").join(side("write", "writer"), "key")
-    return both.where("reader != writer and reader_b < writer_e and writer_b < reader_e").select("reader", "writer").distinct()
+    """Pairs ``(reader, writer)`` of concurrent transactions that both committed where one read a key the other wrote.
+
+    Time is cut into spans of a mean transaction's length, and only transactions in one span of a key meet; a pair is
+    found in the span in which the later of both began.
+    """
+    known = materialize(states(ops).where("state = 'committed'"), "committed")
+    span = known.agg(F.greatest(F.ceil(F.avg(F.col("end_seq") - F.col("begin_seq"))), F.lit(1)).alias("s")).first()["s"] or 1
+    at = lambda c: F.floor(F.col(c) / span)
+
+    def side(op: str, name: str) -> DataFrame:
+        held = ops.where(F.col("op") == op).select("txn", "key").distinct().join(known, "txn")
+        return held.select("key", F.col("txn").alias(name), F.col("begin_seq").alias(f"{name}_b"), F.col("end_seq").alias(f"{name}_e"), F.explode(F.sequence(at("begin_seq"), at("end_seq"))).alias("span"))
+
+    both = side("read", "reader").join(side("write", "writer"), ["key", "span"])
+    met = (F.col("reader_b") < F.col("writer_e")) & (F.col("writer_b") < F.col("reader_e")) & (F.col("span") == F.floor(F.greatest("reader_b", "writer_b") / span))
+    return both.where((F.col("reader") != F.col("writer")) & met).select("reader", "writer").distinct()
 
 
 def ssi_outcome(ops: DataFrame, group: str = "store") -> DataFrame:
     """``store, txn, outcome``: commit requests in order; one is refused if a concurrent transaction that committed wrote what it read or read what it wrote.
 
-    A refusal frees later ones, so this is a fold over the commits of a store, in parallel over stores.
+    A refusal frees later ones, so this is a fold over a store's operations, which are in one task; stores run in
+    parallel. For each key it knows only when the last committed reader and writer ended.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         began: dict = {}
         reads: dict[int, set] = {}
         writes: dict[int, set] = {}
-        done: list[tuple[int, int]] = []
+        read_until: dict = {}
+        written_until: dict = {}
         out = []
         for seq, txn, op, key in pdf.sort_values("seq")[["seq", "txn", "op", "key"]].itertuples(index=False):
             if op == "begin":
@@ -53,12 +74,12 @@ def ssi_outcome(ops: DataFrame, group: str = "store") -> DataFrame:
             elif txn in began and op in ("read", "write"):
                 (reads if op == "read" else writes)[txn].add(key)
             elif txn in began and op in ("commit", "abort"):
-                clash = any(end > began[txn] and (reads[txn] & writes[t] or writes[txn] & reads[t]) for t, end in done)
-                ok = op == "commit" and not clash
+                start, r, w = began.pop(txn), reads.pop(txn), writes.pop(txn)
+                ok = op == "commit" and not any(written_until.get(k, -1) > start for k in r) and not any(read_until.get(k, -1) > start for k in w)
                 if ok:
-                    done.append((txn, seq))
+                    read_until.update(dict.fromkeys(r, seq))
+                    written_until.update(dict.fromkeys(w, seq))
                 out.append((pdf[group].iloc[0], txn, "committed" if ok else "aborted"))
-                began.pop(txn)
         return pd.DataFrame(out, columns=[group, "txn", "outcome"])
 
     return ops.select(group, "seq", "txn", "op", "key").groupBy(group).applyInPandas(fold, f"{group} {dict(ops.dtypes)[group]}, txn long, outcome string")

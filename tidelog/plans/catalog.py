@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import hashing, partitioning, sketches
 from tidelog.operators import consensus, log, merkle, mergeable, replication, segments, sstable, txn
-from tidelog.plans.hash_sql import fnv, murmur, xx
-from tidelog.sources import serde
+from tidelog.plans.hash_sql import BYTES, fnv, murmur, xx
+from tidelog.scratch import scratch_path
+from tidelog.sources import files, serde
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,9 +50,17 @@ def event_segments(spark: SparkSession, d: str) -> DataFrame:
     return event_log(spark, d).withColumn("segment_id", F.floor(C("seq") / 250).cast("long"))
 
 
+def growing_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of about 10, 30, 50 ... rows."""
+    return event_log(spark, d).withColumn("segment_id", F.floor(F.sqrt(C("seq") / 10)).cast("long"))
+
+
 SG = LG + ", sg AS (SELECT *, seq // 250 AS segment_id FROM lg)"
 
 
+SG2 = LG + ", sg AS (SELECT *, floor(sqrt(seq / 10))::BIGINT AS segment_id FROM lg)"
+
+
 def order_log(spark: SparkSession, d: str) -> DataFrame:
     return log.puts(table(spark, d, "orders"), C("o_orderkey"), C("o_orderpriority"), C("o_orderkey"))
 
@@ -60,7 +69,7 @@ def transactions(spark: SparkSession, d: str) -> DataFrame:
     """Two transactions of ten events each run at a time; the first event begins, the last commits or aborts."""
     place = F.floor(C("event_id") % 20 / 2)
     op = F.when(place == 0, "begin").when((place == 9) & (C("user_id") % 7 == 0), "abort").when(place == 9, "commit").when(C("event_type") == "view", "read").otherwise("write")
-    return table(spark, d, "events").select(C("event_id").alias("seq"), (F.floor(C("event_id") / 20) * 2 + C("event_id") % 2).cast("long").alias("txn"), op.alias("op"), (C("user_id") % 20).alias("key"), C("props").alias("value"), (C("event_id") % 2000 * 0 + F.floor(C("event_id") / 2000)).cast("long").alias("store"))
+    return table(spark, d, "events").select(C("event_id").alias("seq"), (F.floor(C("event_id") / 20) * 2 + C("event_id") % 2).cast("long").alias("txn"), op.alias("op"), (C("user_id") % 20).alias("key"), C("props").alias("value"), F.floor(C("event_id") / 2000).cast("long").alias("store"))
 
 
 TX = """tx AS (SELECT event_id AS seq, (event_id // 20) * 2 + event_id % 2 AS txn, CASE WHEN event_id % 20 // 2 = 0 THEN 'begin' WHEN event_id % 20 // 2 = 9 AND user_id % 7 = 0 THEN 'abort'
@@ -147,12 +156,21 @@ def lsm_flush_segments(spark, d):
     return segments.flush(order_log(spark, d), 1000).select("key", "seq", "segment_id")
 
 
-@query()
+def _fold_sql(rows: str, start: str, step: str) -> str:
+    """A recursive CTE ``fold`` over the rows (store, seq, ...) of each store in the order of seq: state columns with their start and next values."""
+    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY store ORDER BY seq) AS i FROM ({rows})),
+    fold AS (SELECT store, 0::BIGINT AS i, {start} FROM (SELECT DISTINCT store FROM o) UNION ALL SELECT o.store, o.i, {step} FROM fold f JOIN o ON o.store = f.store AND o.i = f.i + 1)"""
+
+
+FLUSHED = _fold_sql("SELECT key % 8 AS store, seq, key FROM lg", "[]::BIGINT[] AS held, 0::BIGINT AS segment_id", "CASE WHEN len(f.held) >= 5 THEN [o.key] ELSE list_distinct(list_append(f.held, o.key)) END, f.segment_id + (len(f.held) >= 5)::INT")
+
+
+@query(f"WITH RECURSIVE {LG}, {FLUSHED} SELECT store, seq, key, segment_id FROM fold JOIN o USING (store, i)")
 def lsm_flush_exact(spark, d):
     return segments.flush_exact(event_log(spark, d).withColumn("store", C("key") % 8), 5)
 
 
-@query(f"WITH {SG} SELECT segment_id, count(*) AS n_rows, count(DISTINCT key) AS n_keys, min(key) AS min_key, max(key) AS max_key FROM sg GROUP BY segment_id")
+@query(f"WITH {SG} SELECT segment_id, count(*) AS n_rows, count(DISTINCT key) AS n_keys, min(key) AS min_key, max(key) AS max_key, min(seq) AS min_seq, max(seq) AS max_seq FROM sg GROUP BY segment_id")
 def lsm_segment_catalog(spark, d):
     return segments.catalog(event_segments(spark, d))
 
@@ -162,38 +180,70 @@ def lsm_read_amplification(spark, d):
     return segments.read_amplification(event_segments(spark, d))
 
 
-def _compacted(spark, d, strategy):
-    own = event_segments(spark, d)
-    ids = [r["segment_id"] for r in own.select("segment_id").distinct().collect()]  # a number for each segment
-    return segments.compact(own, strategy.select(ids)).select("key", "value", "seq", "op", "segment_id")
+def _compacted(own, strategy):
+    sizes = own.groupBy("segment_id").agg(F.count("*").alias("n_rows"))
+    return segments.compact(own, strategy.choose(sizes)).select("key", "value", "seq", "op", "segment_id")
 
 
-def _compact_sql(chosen: str) -> str:
-    return f"""WITH {SG}, ids AS (SELECT DISTINCT segment_id FROM sg), chosen AS ({chosen}),
+def _compact_sql(chosen: str, sg: str = SG) -> str:
+    return f"""WITH {sg}, ids AS (SELECT segment_id, count(*) AS n_rows FROM sg GROUP BY segment_id), chosen AS ({chosen}),
     lg2 AS (SELECT * FROM sg WHERE segment_id IN (SELECT segment_id FROM chosen)),
     m AS (SELECT key, arg_max(struct_pack(v := value), seq).v AS value, max(seq) AS seq, arg_max(op, seq) AS op, (SELECT max(segment_id) FROM chosen) AS segment_id FROM lg2 GROUP BY key)
-    SELECT key, value, seq, op, segment_id FROM m WHERE op = 'put' UNION ALL SELECT key, value, seq, op, segment_id FROM sg WHERE segment_id NOT IN (SELECT segment_id FROM chosen)"""
+    SELECT key, value, seq, op, segment_id FROM m WHERE op = 'put' OR EXISTS (SELECT 1 FROM ids WHERE segment_id < (SELECT min(segment_id) FROM chosen))
+    UNION ALL SELECT key, value, seq, op, segment_id FROM sg WHERE segment_id NOT IN (SELECT segment_id FROM chosen)"""
+
+
+OLDEST = "SELECT segment_id FROM ids ORDER BY segment_id LIMIT 4"
 
 
 @query(_compact_sql("SELECT segment_id FROM ids"))
 def lsm_compact_full(spark, d):
-    return _compacted(spark, d, segments.Full(2))
+    return _compacted(event_segments(spark, d), segments.Full(2))
 
 
-@query(_compact_sql("SELECT segment_id FROM ids"))
+@query(_compact_sql("SELECT segment_id FROM ids WHERE length(bin(n_rows)) = (SELECT arg_min(t, f) FROM (SELECT length(bin(n_rows)) AS t, min(segment_id) AS f FROM ids GROUP BY 1 HAVING count(*) >= 4))", SG2))
 def lsm_compact_size_tiered(spark, d):
-    return _compacted(spark, d, segments.SizeTiered(4))
+    return _compacted(growing_segments(spark, d), segments.SizeTiered(4))
 
 
-@query(_compact_sql("SELECT segment_id FROM ids ORDER BY segment_id LIMIT 4"))
+@query(_compact_sql(OLDEST))
 def lsm_compact_leveled(spark, d):
-    return _compacted(spark, d, segments.Leveled(4))
+    return _compacted(event_segments(spark, d), segments.Leveled(4))
+
+
+LEVELS = "lv AS (SELECT *, greatest(ceil(ln(n_rows / 40) / ln(2) - 1e-9), 0) AS l FROM ids)"
+
+
+@query(_compact_sql(f"WITH {LEVELS} SELECT segment_id FROM lv WHERE l = (SELECT min(l) FROM (SELECT l FROM lv GROUP BY l HAVING count(*) > 1 AND sum(n_rows) > 40 * pow(2, l)))", SG2))
+def lsm_compact_levels(spark, d):
+    return _compacted(growing_segments(spark, d), segments.Levels(40, 2))
 
 
 @query(f"WITH {LG}, {LAST} SELECT key, seq FROM last WHERE op = 'del'")
 def lsm_tombstone_strip(spark, d):
     """The keys whose tombstones a full compaction drops."""
-    return log.latest(event_log(spark, d)).where("op = 'del'").select("key", "seq")
+    own = event_segments(spark, d)
+    return log.latest(own).join(_compacted(own, segments.Full(2)), "key", "left_anti").select("key", "seq")
+
+
+def _stored(own: DataFrame) -> str:
+    path = scratch_path(own.sparkSession, "store")
+    own.repartition("segment_id").write.partitionBy("segment_id").parquet(path)
+    return path
+
+
+@query(f"WITH {SG} SELECT segment_id, count(*) AS n_rows, count(DISTINCT key) AS n_keys, min(key) AS min_key, max(key) AS max_key, min(seq) AS min_seq, max(seq) AS max_seq FROM sg GROUP BY segment_id")
+def lsm_segment_recovery(spark, d):
+    """The catalog of a store that is opened anew from its folders."""
+    return segments.catalog(segments.read_segments(spark, _stored(event_segments(spark, d))))
+
+
+@query(_compact_sql(OLDEST))
+def lsm_auto_compact(spark, d):
+    """What the folders of a store hold after the compaction that follows a flush."""
+    path = _stored(event_segments(spark, d))
+    segments.compact_folder(spark, path, segments.Options(strategy=segments.Leveled(4)).compaction)
+    return segments.read_segments(spark, path)
 
 
 @query("SELECT user_id AS key, arg_max(struct_pack(v := props), event_id).v AS value, min(event_id) AS first_seq FROM events GROUP BY user_id")
@@ -201,16 +251,49 @@ def log_compact_first_order(spark, d):
     return segments.compact_log(log.puts(table(spark, d, "events"), C("user_id"), C("props"), C("event_id")))
 
 
-@query()
+@query("""WITH c AS (SELECT user_id AS key, arg_max(struct_pack(v := props), event_id).v AS value, min(event_id) AS first_seq FROM events GROUP BY user_id), z AS (SELECT *, 8 + coalesce(octet_length(encode(value)), 0) AS s FROM c)
+SELECT key, value, first_seq, (sum(s) OVER (ORDER BY first_seq) - s)::BIGINT AS "offset", s::BIGINT AS "count" FROM z""")
+def log_compact_indexed(spark, d):
+    own = log.puts(table(spark, d, "events"), C("user_id"), C("props"), C("event_id"))
+    return segments.compact_indexed(own, 8 + F.coalesce(F.octet_length("value"), F.lit(0)))
+
+
+def _roll_sql(rows: str, most: int) -> str:
+    return "WITH RECURSIVE " + _fold_sql(rows, "0::BIGINT AS held, 0::BIGINT AS segment_id", f"CASE WHEN f.held >= {most} THEN 0 ELSE f.held END + o.size, f.segment_id + (f.held >= {most})::INT")
+
+
+def sized_documents(spark, d):
+    return table(spark, d, "documents").select(C("source").alias("store"), C("doc_id").alias("seq"), C("n_chars").alias("size"))
+
+
+@query(_roll_sql("SELECT source AS store, doc_id AS seq, n_chars AS size FROM documents", 20_000) + " SELECT store, seq, size, segment_id FROM fold JOIN o USING (store, i)")
 def log_roll_segments(spark, d):
-    own = table(spark, d, "documents").select(C("source").alias("store"), C("doc_id").alias("seq"), C("n_chars").alias("size"))
-    return segments.roll(own, 20_000)
+    return segments.roll(sized_documents(spark, d), 20_000)
+
+
+@query("SELECT store, seq FROM (SELECT source AS store, doc_id AS seq, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) - n_chars AS before FROM documents) WHERE before >= 20000")
+def log_full_guard(spark, d):
+    return segments.refused_puts(sized_documents(spark, d), 20_000)
+
+
+@query(_roll_sql("SELECT source AS store, doc_id // 50 AS seq, sum(n_chars)::BIGINT AS size FROM documents GROUP BY 1, 2", 9000) + " SELECT store, seq AS segment_id, segment_id AS merged_id FROM fold JOIN o USING (store, i)")
+def log_merge_small(spark, d):
+    sizes = sized_documents(spark, d).groupBy("store", F.floor(C("seq") / 50).cast("long").alias("segment_id")).agg(F.sum("size").alias("size"))
+    return segments.merge_small(sizes, 9000)
+
 
+def _frames(spark, d):
+    return segments.wal_frames(event_log(spark, d), F.concat_ws("|", C("key").cast("string"), "value"))
 
-@query()
+
+@query(f"WITH {LG} SELECT seq, concat_ws('|', key, value) AS payload FROM lg WHERE seq > 700")
+def wal_truncate(spark, d):
+    return segments.recover(segments.truncate(_frames(spark, d), 700)).select("seq", F.decode("payload", "UTF-8").alias("payload"))
+
+
+@query(f"WITH {LG} SELECT seq, concat_ws('|', key, value) AS payload FROM lg WHERE seq % 10 <> 3 AND seq < coalesce((SELECT min(seq) FROM lg WHERE seq = 9000), 9223372036854775807)")
 def wal_recover(spark, d):
-    frames = segments.wal_frames(event_log(spark, d), F.concat_ws("|", C("key").cast("string"), "value"))
-    damaged = frames.withColumn("crc", F.when(C("seq") % 10 == 3, C("crc") + 1).otherwise(C("crc"))).withColumn("length", F.when(C("seq") == 9000, -1).otherwise(C("length")))
+    damaged = _frames(spark, d).withColumn("crc", F.when(C("seq") % 10 == 3, C("crc") + 1).otherwise(C("crc"))).withColumn("length", F.when(C("seq") == 9000, -1).otherwise(C("length")))
     return segments.recover(damaged).select("seq", F.decode("payload", "UTF-8").alias("payload"))
 
 
@@ -258,9 +341,9 @@ def idx_file_offsets(spark, d):
     return sstable.offsets(own, "key", 8 + C("bytes")).select("key", "offset", C("size").alias("count"))
 
 
-@query("SELECT c_mktsegment AS index_key, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS keys FROM (SELECT DISTINCT c_mktsegment, c_custkey FROM customer WHERE c_mktsegment IS NOT NULL) GROUP BY 1")
+@query("SELECT DISTINCT c_mktsegment AS index_key, c_custkey AS key FROM customer WHERE c_mktsegment IS NOT NULL")
 def idx_secondary_index(spark, d):
-    return sstable.secondary_index(table(spark, d, "customer"), C("c_mktsegment"), "c_custkey").select("index_key", F.array_join(C("keys").cast("array<string>"), ",").alias("keys"))
+    return sstable.secondary_index(table(spark, d, "customer"), C("c_mktsegment"), "c_custkey")
 
 
 @query("SELECT c_custkey AS key FROM customer WHERE c_mktsegment = 'BUILDING'")
@@ -271,7 +354,7 @@ def idx_secondary_lookup(spark, d):
 @query(f"WITH {LG}, {LAST} SELECT seq % 10 AS index_key, count(*) AS n_keys FROM last WHERE op = 'put' GROUP BY 1")
 def idx_secondary_remove(spark, d):
     """Keys by an extracted value, after deletes took keys out of the index."""
-    return sstable.secondary_index(log.live(event_log(spark, d)), C("seq") % 10).select("index_key", F.size("keys").cast("long").alias("n_keys"))
+    return sstable.secondary_index(log.live(event_log(spark, d)), C("seq") % 10).groupBy("index_key").agg(F.count("*").alias("n_keys"))
 
 
 # Hashes and sketches.
@@ -292,7 +375,7 @@ def hash_xxh32(spark, d):
     return table(spark, d, "customer").select("c_custkey", hashing.xxhash32(C("c_name")).alias("hash"))
 
 
-@query()
+@query(f"SELECT c_custkey, xor(list_reduce(list_prepend(4294967295::UBIGINT, {BYTES.format(c='c_name')}), lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(0, 8), lambda z: z::UBIGINT)), lambda x, y: xor(x >> 1, (x & 1::UBIGINT) * 3988292384::UBIGINT))), 4294967295::UBIGINT)::BIGINT AS hash FROM customer")
 def hash_crc32(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.crc32("c_name").alias("hash"))
 
@@ -300,22 +383,32 @@ def hash_crc32(spark, d):
 BITS, HASHES = sketches.bloom_size(1000, 0.05)
 
 
-def _positions(source: str, item: str) -> str:
-    hashed = xx(murmur(source, item, "h1"), item, "h2")
-    return f"SELECT *, unnest(list_transform(range(0, {HASHES}), lambda i: ((h1 + i * h2) % 4294967296) % {BITS})) AS pos FROM ({hashed})"
+def _positions(source: str, item: str, sized: str | None = None) -> str:
+    """The source's rows with each of their positions; ``sized``: a relation of one row (bits, hashes)."""
+    hashed = xx(murmur(f"SELECT * FROM ({source}), {sized}" if sized else source, item, "h1"), item, "h2")
+    bits, hashes = ("bits", "hashes") if sized else (BITS, HASHES)
+    return f"SELECT *, unnest(list_transform(range(0, {hashes}), lambda i: ((h1 + i * h2) % 4294967296) % {bits})) AS pos FROM ({hashed})"
+
+
+def _sized(n: str, rate: float) -> str:
+    """SQL of ``bloom_size`` for a number of items."""
+    return f"(SELECT bits, greatest(1, round_even(bits / n * ln(2), 0))::BIGINT AS hashes FROM (SELECT n, ceil(-n * ln({rate}) / pow(ln(2), 2))::BIGINT AS bits FROM ({n})))"
 
 
-BUILT = "SELECT DISTINCT o_custkey::VARCHAR AS item FROM orders WHERE o_custkey % 5 = 0 AND o_custkey <= 5000"
-PROBED = "SELECT DISTINCT c_custkey::VARCHAR AS item FROM customer WHERE c_custkey <= 5000"
+BUILT = "SELECT DISTINCT o_custkey::VARCHAR AS item FROM orders WHERE o_custkey % 5 = 0"
+PROBED = "SELECT DISTINCT c_custkey::VARCHAR AS item FROM customer"
 
 
 def _bloom(spark, d):
-    built = table(spark, d, "orders").where("o_custkey % 5 = 0 and o_custkey <= 5000").select(C("o_custkey").cast("string").alias("item")).distinct()
-    probes = table(spark, d, "customer").where("c_custkey <= 5000").select(C("c_custkey").cast("string").alias("item"))
-    return built, sketches.bloom_probe(probes, "item", sketches.bloom_build(built, "item", BITS, HASHES), BITS, HASHES)
+    """A filter of every fifth customer's number, sized by how many have orders, and what it says of all customers."""
+    built = table(spark, d, "orders").where("o_custkey % 5 = 0").select(C("o_custkey").cast("string").alias("item")).distinct()
+    bits, hashes = sketches.bloom_size(max(1, built.count()), 0.05)
+    probes = table(spark, d, "customer").select(C("c_custkey").cast("string").alias("item"))
+    return built, sketches.bloom_probe(probes, "item", sketches.bloom_build(built, "item", bits, hashes), bits, hashes)
 
 
-BLOOM = f"WITH f AS (SELECT DISTINCT pos FROM ({_positions(BUILT, 'item')})), p AS ({_positions(PROBED, 'item')}), r AS (SELECT item, count(f.pos) = count(*) AS maybe FROM p LEFT JOIN f USING (pos) GROUP BY item)"
+BLOOM_SIZE = _sized(f"SELECT count(*) AS n FROM ({BUILT})", 0.05)
+BLOOM = f"WITH f AS (SELECT DISTINCT pos FROM ({_positions(BUILT, 'item', BLOOM_SIZE)})), p AS ({_positions(PROBED, 'item', BLOOM_SIZE)}), r AS (SELECT item, count(f.pos) = count(*) AS maybe FROM p LEFT JOIN f USING (pos) GROUP BY item)"
 
 
 @query(f"{BLOOM} SELECT item, maybe FROM r")
@@ -329,6 +422,32 @@ def bloom_fpr(spark, d):
     return probed.join(built, "item", "left_anti").agg(F.count("*").alias("n_absent"), F.sum(C("maybe").cast("int")).alias("n_false"))
 
 
+WANTED = "SELECT DISTINCT c_custkey AS key, c_custkey::VARCHAR AS item FROM customer"
+
+
+@query(f"""WITH {LG}, {LAST}, f AS (SELECT DISTINCT pos FROM ({_positions('SELECT DISTINCT key::VARCHAR AS item FROM lg', 'item', _sized('SELECT count(DISTINCT key) AS n FROM lg', 0.01))})),
+a AS (SELECT p.key, count(f.pos) = count(*) AS asked FROM ({_positions(WANTED, 'item', _sized('SELECT count(DISTINCT key) AS n FROM lg', 0.01))}) p LEFT JOIN f USING (pos) GROUP BY p.key)
+SELECT a.key, l.value, l.key IS NOT NULL AS found, asked FROM a LEFT JOIN (SELECT * FROM last WHERE op = 'put') l ON l.key = a.key""")
+def bloom_store_get(spark, d):
+    """Lookups of all customers in a store behind a Bloom filter of its keys."""
+    own = event_log(spark, d)
+    keys = own.select("key").distinct()
+    bits, hashes = sketches.bloom_size(max(1, keys.count()), 0.01)
+    return segments.filtered_get(own, _customer_keys(spark, d), sketches.bloom_build(keys, "key", bits, hashes), bits, hashes)
+
+
+SEGMENT_SIZE = _sized("SELECT max(n) AS n FROM (SELECT count(DISTINCT key) AS n FROM sg GROUP BY segment_id)", 0.01)
+
+
+@query(f"""WITH {SG}, {LAST}, f AS (SELECT DISTINCT segment_id, pos FROM ({_positions('SELECT DISTINCT segment_id, key::VARCHAR AS item FROM sg', 'item', SEGMENT_SIZE)})),
+p AS (SELECT DISTINCT key, pos FROM ({_positions(WANTED, 'item', SEGMENT_SIZE)})), m AS (SELECT key, segment_id FROM (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM p) JOIN f USING (pos) GROUP BY key, segment_id, n HAVING count(*) = n)
+SELECT p.key, l.value, l.key IS NOT NULL AS found, (SELECT count(*) FROM m WHERE m.key = p.key) AS n_maybe FROM (SELECT DISTINCT key FROM p) p LEFT JOIN (SELECT * FROM last WHERE op = 'put') l ON l.key = p.key""")
+def lsm_bloom_get(spark, d):
+    """Lookups of all customers that skip the segments whose filters rule them out."""
+    own = event_segments(spark, d)
+    return segments.guarded_get(own, _customer_keys(spark, d), *segments.segment_filters(own))
+
+
 CHANGES = "SELECT user_id::VARCHAR AS item, sum(CASE WHEN event_type = 'purchase' THEN {gone} ELSE 1 END) AS d FROM events GROUP BY 1"
 
 
@@ -351,30 +470,37 @@ def cbloom_remove(spark, d):
     return _counting(spark, d, -1)
 
 
-def _merkle_sql(levels: int, blocks: str) -> str:
-    """Levels above the leaves as nested CTEs; a level above the root repeats nothing, as its only pair is the root and padding."""
-    pads = merkle.pad_hashes(levels)
-    out = [f"l0 AS (SELECT row_number() OVER (ORDER BY k) - 1 AS pos, sha256(b) AS hash FROM ({blocks}))"]
-    for i in range(1, levels + 1):
-        out.append(f"l{i} AS (SELECT pos // 2 AS pos, sha256(unhex(max(CASE WHEN pos % 2 = 0 THEN hash END) || coalesce(max(CASE WHEN pos % 2 = 1 THEN hash END), '{pads[i - 1]}'))) AS hash FROM l{i - 1} GROUP BY pos // 2)")
-    return "WITH " + ", ".join(out)
-
+MERKLE = f"""WITH RECURSIVE lv AS (SELECT 0 AS level, list(sha256(coalesce(text, '')) ORDER BY doc_id) AS h, '{merkle.EMPTY}' AS pad FROM documents
+UNION ALL SELECT level + 1, list_transform(range(0, (len(h) + 1) // 2), lambda i: sha256(unhex(h[2 * i + 1] || coalesce(h[2 * i + 2], pad)))), sha256(unhex(pad || pad)) FROM lv WHERE len(h) > 1)"""
 
-LEAVES = "SELECT n_nationkey AS k, encode(n_name) AS b FROM nation"
 
+def _leaves(spark, d):
+    return merkle.leaves(table(spark, d, "documents"), "doc_id", "text")
 
-def _merkle(spark, d):
-    return merkle.tree(merkle.leaves(table(spark, d, "nation"), "n_nationkey", "n_name"))
 
-
-@query(f"{_merkle_sql(5, LEAVES)} SELECT hash AS root FROM l5")
+@query(f"{MERKLE} SELECT h[1] AS root FROM lv WHERE len(h) = 1")
 def merkle_root(spark, d):
-    return merkle.root_of(merkle.leaves(table(spark, d, "nation"), "n_nationkey", "n_name"))
+    return merkle.root_of(_leaves(spark, d))
 
 
-@query(f"{_merkle_sql(5, LEAVES)} SELECT 0 AS level, hash AS sibling FROM l0 WHERE pos = 4 UNION ALL SELECT 1, hash FROM l1 WHERE pos = 3 UNION ALL SELECT 2, hash FROM l2 WHERE pos = 0 UNION ALL SELECT 3, hash FROM l3 WHERE pos = 1 UNION ALL SELECT 4, hash FROM l4 WHERE pos = 1")
+@query(f"{MERKLE} SELECT level, coalesce(h[xor(77 >> level, 1) + 1], pad) AS sibling FROM lv WHERE len(h) > 1")
 def merkle_proof(spark, d):
-    return merkle.proof(_merkle(spark, d), 5, 25)
+    return merkle.proof(merkle.tree(_leaves(spark, d)), 77, table(spark, d, "documents").count())
+
+
+@query("SELECT pos AS idx, pos % 74 <> 0 AS ok FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents) WHERE pos % 37 = 0")
+def merkle_verify_proofs(spark, d):
+    """Proofs of every 37th document; every other one is held against a leaf that isn't its own."""
+    nodes, n = merkle.tree(_leaves(spark, d)), table(spark, d, "documents").count()
+    found = merkle.proofs(nodes, spark.range(0, n, 37).select(C("id").alias("idx")), n)
+    forged = F.when(C("idx") % 74 == 0, F.sha2("leaf", 256)).otherwise(C("leaf"))
+    return merkle.verify_proofs(found.withColumn("leaf", forged), merkle.root(nodes).first()["root"])
+
+
+@query("SELECT true AS intact")
+def merkle_verify(spark, d):
+    root = merkle.root(merkle.tree(_leaves(spark, d))).first()["root"]
+    return merkle.verify(table(spark, d, "documents"), "doc_id", "text", root)
 
 
 @query("SELECT pos FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id FROM documents) WHERE doc_id % 50 = 7")
@@ -472,7 +598,10 @@ def ssi_conflict_pairs(spark, d):
     return txn.conflict_pairs(transactions(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TX}, rq AS (SELECT begin_seq // 2000 AS store, * FROM st WHERE begin_seq IS NOT NULL AND end_seq IS NOT NULL), rw AS (SELECT DISTINCT op, key, rq.* FROM tx JOIN rq USING (txn) WHERE op IN ('read', 'write')),
+cf AS (SELECT a.txn, list(DISTINCT b.txn) AS rivals FROM rw a JOIN rw b ON a.store = b.store AND a.key = b.key AND a.op <> b.op AND b.end_seq < a.end_seq AND b.end_seq > a.begin_seq GROUP BY a.txn),
+{_fold_sql("SELECT store, end_seq AS seq, rq.txn, state, coalesce(rivals, []) AS rivals FROM rq LEFT JOIN cf ON cf.txn = rq.txn", "[]::BIGINT[] AS done", "CASE WHEN o.state = 'committed' AND NOT list_has_any(f.done, o.rivals) THEN list_append(f.done, o.txn) ELSE f.done END")}
+SELECT store, txn, CASE WHEN list_contains(done, txn) THEN 'committed' ELSE 'aborted' END AS outcome FROM fold JOIN o USING (store, i)""")
 def ssi_outcome(spark, d):
     return txn.ssi_outcome(transactions(spark, d))
 
@@ -528,6 +657,17 @@ def quorum_write(spark, d):
     return replication.quorum_write(table(spark, d, "events").select(C("event_id").alias("version")), up, 2)
 
 
+@query("SELECT pos, seq FROM (SELECT *, max(seq) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT event_id AS pos, event_id - 3 * (event_id % 7) AS seq FROM events)) WHERE seq <= 0 OR seq <= before")
+def repl_append_check(spark, d):
+    return replication.refused_appends(table(spark, d, "events").select(C("event_id").alias("pos"), (C("event_id") - 3 * (C("event_id") % 7)).alias("seq")))
+
+
+@query("SELECT 'replica-' || i AS replica, coalesce((SELECT arg_max(event_type <> 'error', event_id) FROM events WHERE user_id % 3 = i), true) AS available FROM range(4) t(i)")
+def quorum_availability(spark, d):
+    changes = table(spark, d, "events").select(C("event_id").alias("seq"), F.concat(F.lit("replica-"), (C("user_id") % 3).cast("string")).alias("replica"), (C("event_type") != "error").alias("available"))
+    return replication.availability(spark.range(4).select(F.concat(F.lit("replica-"), C("id").cast("string")).alias("replica")), changes)
+
+
 # Mergeable state and clocks.
 
 
@@ -648,9 +788,43 @@ def raft_log_divergence(spark, d):
     return consensus.divergence(own, others)
 
 
+def _entries(spark, d):
+    return table(spark, d, "events").select(C("event_id").alias("idx"), F.floor(C("event_id") / 100).cast("long").alias("term"), C("event_type").alias("command"))
+
+
+@query("SELECT event_id AS idx, event_id // 100 AS term, event_type AS command FROM events WHERE event_id <= 810")
+def raft_committed(spark, d):
+    own = _entries(spark, d)
+    return consensus.committed(own, consensus.commit_index(own.where("idx <= 810"), _matches(spark), 8))
+
+
+@query("SELECT event_id AS idx, CASE WHEN event_id >= 600 THEN 9 ELSE event_id // 100 END AS term, event_type AS command FROM events WHERE event_id <= 800")
+def raft_append_entries(spark, d):
+    """A follower's entries from 600 on conflict with the leader's and go."""
+    own = _entries(spark, d)
+    sent = own.where("idx between 500 and 800").withColumn("term", F.when(C("idx") >= 600, 9).otherwise(C("term")))
+    return consensus.append_entries(own.where("idx <= 950"), sent, 499, 4)
+
+
 # Entries and orders.
 
 
+@query("SELECT c_custkey AS key, c_name AS value FROM customer")
+def csv_entry_read(spark, d):
+    path = scratch_path(spark, "csv")
+    serde.write_csv(table(spark, d, "customer").select(C("c_custkey").alias("key"), C("c_name").alias("value")), path)
+    return serde.read_csv(spark, path, "key long, value string")
+
+
+@query("SELECT n_nationkey::BIGINT AS key, n_name AS value FROM nation")
+def bin_entry_read(spark, d):
+    """Entries of one small binary file."""
+    path = scratch_path(spark, "binary")
+    rows = table(spark, d, "nation").select(serde.binary_entry(C("n_nationkey").cast("long"), C("n_name")).alias("e")).collect()
+    files.write_bytes(spark, path, b"".join(bytes(r["e"]) for r in rows))
+    return serde.read_binary(spark, path, "key long, value string")
+
+
 @query("""SELECT doc_id, doc_id || ',' || CASE WHEN regexp_matches(text, '[,"\\r\\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS entry FROM documents""")
 def csv_entry_encode(spark, d):
     return table(spark, d, "documents").select("doc_id", serde.csv_entry(C("doc_id"), C("text")).alias("entry"))

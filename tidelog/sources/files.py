@@ -18,6 +18,30 @@ def write(df: DataFrame, path: str, if_exists: str = "fail") -> None:
     df.write.mode(IF_EXISTS[if_exists]).parquet(path)
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes, if_exists: str = "fail") -> None:
+    """One file of these bytes; ``append`` writes the old content and the new to another file, which then takes the place of the first."""
+    where, fs = _path(spark, path)
+    there = fs.exists(where)
+    if there and if_exists == "fail":
+        raise FileExistsError(path)
+    if there and if_exists == "keep":
+        return
+    if there and if_exists == "append":
+        data = bytes(read_bytes(spark, path).first()["bytes"]) + data
+    part, _ = _path(spark, f"{path}.part")
+    out = fs.create(part, True)
+    out.write(bytearray(data))
+    out.close()
+    if there:
+        fs.delete(where, False)
+    if not fs.rename(part, where):
+        raise OSError(f"{path} can't be written")
+
+
+def write_text(spark: SparkSession, path: str, text: str, if_exists: str = "fail", charset: str = "UTF-8") -> None:
+    write_bytes(spark, path, text.encode(charset), if_exists)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where, fs = _path(spark, path)
     return fs.exists(where)
