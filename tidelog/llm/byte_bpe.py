@@ -241,7 +241,7 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, id_col: str = "do
     """``id, ids``: the token ids of each whole text; a null text is empty. With ``decoded``, also ``bytes``, decoded from the ids by the same workers.
 
     Matches of ``pattern`` are encoded separately, without special tokens; text between matches is left out.
-    Repeated rows are repeated. Texts are coded in slices of about SLICE_BYTES, a longer text in one.
+    Repeated rows are repeated; no rows give no rows. Texts are coded in slices of about SLICE_BYTES, a longer text in one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(tokens))
 
@@ -273,6 +273,7 @@ def decode(encoded: DataFrame, tokens: list[bytes], pattern: str) -> DataFrame:
 
 
 def op1_query(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """The contract's columns; a null text has no tokens, repeated rows are repeated, an empty table gives an empty one."""
     coded = encode(docs, read_ranks(path), pattern, decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(ids, "UTF-8"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

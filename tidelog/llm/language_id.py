@@ -261,5 +261,6 @@ def is_held_out(id_col: str = "doc_id") -> Column:
 
 
 def op2_query(docs: DataFrame) -> DataFrame:
+    """The contract's columns, one row per row of documents; edge cases as in ``identify``, and a null doc_id counts as an empty one for the fold."""
     net, classes = train(docs.where(~is_held_out()))
     return identify(docs, net, classes).select(F.col("id").alias("doc_id"), is_held_out("id").alias("held_out"), "lang_pred", "score")

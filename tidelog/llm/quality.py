@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import binary, materialize
+from tidelog.llm.common import binary, materialize, slices
 
 #: White space and UTF-8 continuation bytes: what is left of a text without them has one byte per code point in words.
 NOT_COUNTED = b"\x20\x09\x0a\x0b\x0c\x0d" + bytes(range(0x80, 0xC0))
@@ -21,6 +21,7 @@ LINE_DOCS = 20
 #: A document is depleted when the words of the removed lines leave less than this share of its words.
 LEAST_LEFT = 0.2
 
+SLICE_BYTES = 2 << 20
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -74,12 +75,13 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("h", pa.int64()), ("w", pa.int32())])
-        for b in batches:
-            found = [measure(t) for t in binary(b.column("text"))]
-            ends = np.cumsum([0, *(len(x[1]) for x in found)], dtype=np.int32)
-            pairs = pa.StructArray.from_arrays([pa.array([h for x in found for h in x[1]], pa.int64()), pa.array([c for x in found for c in x[2]], pa.int32())], fields=list(kind))
-            own = [pa.array([x[0][i] for x in found], pa.int64()) for i in range(5)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("host"), b.column("mark"), *own, pa.ListArray.from_arrays(pa.array(ends), pairs)], ["id", "host", "mark", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
+        for batch in batches:
+            for b in slices(batch, "text", SLICE_BYTES):
+                found = [measure(t) for t in binary(b.column("text"))]
+                ends = np.cumsum([0, *(len(x[1]) for x in found)], dtype=np.int32)
+                pairs = pa.StructArray.from_arrays([pa.array([h for x in found for h in x[1]], pa.int64()), pa.array([c for x in found for c in x[2]], pa.int32())], fields=list(kind))
+                own = [pa.array([x[0][i] for x in found], pa.int64()) for i in range(5)]
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("host"), b.column("mark"), *own, pa.ListArray.from_arrays(pa.array(ends), pairs)], ["id", "host", "mark", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(host_col).alias("host"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id long, host string, mark long, {MEASURES}, lines array<struct<h:long,w:int>>")
@@ -120,4 +122,4 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
 
 def op4_query(docs: DataFrame) -> DataFrame:
     """The contract's columns and ``n_removed_lines``; a row per row of documents, edge cases as in ``judge``."""
-    return judge(docs).select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.size("removed").alias("n_removed_lines"))
+    return judge(docs).select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.size("removed").cast("long").alias("n_removed_lines"))

@@ -133,6 +133,7 @@ def find_secrets(docs: DataFrame, ratios: list[float] | None = None, id_col: str
 
 
 def op6_query(docs: DataFrame) -> DataFrame:
+    """The contract's columns; a null text has no spans, repeated rows are repeated, an empty table gives an empty one."""
     names = F.array(*(F.lit(kind) for kind, *_ in BASE), F.lit("markov"))
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import binary, materialize
+from tidelog.llm.common import binary, materialize, slices
 from tidelog.llm.components import connected_components
 from tidelog.llm.shingle_groups import similar_groups
 
@@ -28,6 +28,7 @@ SEED = 42
 #: Buckets of more fingerprints than this are linked through common neighbours instead of pair by pair.
 SMALL_BUCKET = 6
 MASK23 = (1 << 23) - 1
+SLICE_BYTES = 2 << 20
 
 
 def fingerprint(text: bytes | None, width: int = 3) -> int:
@@ -48,9 +49,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``id, mark, fp`` of every row; fp is the fingerprint as a signed long, mark a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.array([fingerprint(t, width) for t in binary(b.column(2))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["id", "mark", "fp"])
+        for batch in batches:
+            for b in slices(batch, "text", SLICE_BYTES):
+                fps = np.array([fingerprint(t, width) for t in binary(b.column(2))], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["id", "mark", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, mark long, fp long")
@@ -178,6 +180,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
 
 def op3_query(docs: DataFrame) -> DataFrame:
-    """The contract's columns for a documents table."""
+    """The contract's columns for a documents table; edge cases as in ``simhash_groups``."""
     found = simhash_groups(docs)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
