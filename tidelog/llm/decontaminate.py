@@ -1,7 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, weighted-shingle similarity.
 
-Only Spark SQL expressions. A window can be similar to an item only if it has enough of the item's own shingles, so
-windows without them are never fingerprinted; this leaves out nothing that the last step would keep.
+Only Spark SQL expressions. A window can be similar to an item only if it has most of the item's own shingles, so
+windows with less than LEAST_SHARED of them are never fingerprinted; this leaves out nothing that the last step would keep.
 """
 
 from __future__ import annotations
@@ -13,16 +13,20 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import materialize
 
+#: Words of a shingle; ``with_shingles`` is written for five.
 WIDTH = 5
 LEAST_SIMILARITY = 0.8
+#: Windows with this share of an item's shingles are fingerprinted; similar ones have LEAST_SIMILARITY or more.
+LEAST_SHARED = 0.6
 #: 64 bits in 8 blocks: fingerprints that differ in up to 23 bits have a block that differs in 2 at most.
 BLOCKS, ERRORS = 8, 2
 RADIUS = BLOCKS * (ERRORS + 1) - 1
-#: Item shingles (16 bytes each) and texts with windows to fingerprint (up to some hundred bytes each) are broadcast up
-#: to these numbers; more are joined by a shuffle, with the same result.
-MOST_BROADCAST, MOST_TEXTS = 500_000, 100_000
+#: Item shingles (about 40 bytes each) and the windows of texts (12 bytes each, and 40 a text) are broadcast up to so many
+#: bytes; more are joined by a shuffle, with the same result.
+MOST_BROADCAST = 20 << 20
 PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-LANE = 0x0001000100010001
+#: Bits that a count takes in a SimHash of up to so many shingles; four or two counts share a long.
+LANES = ((16, 0xFFFF), (32, 0xFFFFFFFF))
 
 
 def words_of(text: Column) -> Column:
@@ -31,24 +35,47 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(plain, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def shingles_of(words: Column) -> Column:
-    """Hashes of all WIDTH-word shingles, repeats included; of fewer words, of all of them together."""
-    last = F.greatest(F.size(words) - WIDTH, F.lit(0))
-    return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(words, i + 1, WIDTH)))).otherwise(F.array().cast("array<long>"))
+def with_shingles(df: DataFrame, words: str, name: str) -> DataFrame:
+    """Adds hashes of all WIDTH-word shingles, repeats included; of fewer words, of all of them together.
+
+    Each word is hashed once; then two words' hashes, two such pairs', and those and a fifth word's are hashed together.
+    """
+    both = lambda a, b: F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
+    after = lambda c, k: F.slice(c, k + 1, F.greatest(F.size(c), F.lit(1)))
+    n = F.size(words)
+    out = df.withColumn("__one", F.transform(words, lambda w: F.xxhash64(w)))  # a column each, so that none is computed again for its elements
+    out = out.withColumn("__two", both("__one", after("__one", 1)))
+    out = out.withColumn("__four", both("__two", after("__two", 2)))
+    out = out.withColumn("__five", both("__four", after("__one", 4)))
+    some = F.when(n >= WIDTH, F.slice("__five", 1, F.greatest(n - WIDTH + 1, F.lit(1)))).when(n > 0, F.array(F.xxhash64("__one"))).otherwise(F.array().cast("array<long>"))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), some.alias(name))
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def with_simhash(df: DataFrame, hashes: str, name: str = "fp") -> DataFrame:
-    """Adds the 64-bit SimHash of an array of up to 65,535 hashes: a bit is set where over half have it. One long sums four bits."""
+    """Adds the 64-bit SimHash of an array of hashes: a bit is set where over half have it. Arrays that overflow narrow counts are summed in wide ones."""
     n = F.size(hashes)
-    lanes = lambda k: F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, x: acc + F.shiftrightunsigned(x, k).bitwiseAND(F.lit(LANE)))
-    sums = [lanes(k) for k in range(16)]
-    out = F.lit(0).cast("long")
-    for k in range(16):
-        for lane in range(4):
-            bit = 1 << 16 * lane + k
-            count = F.shiftrightunsigned(F.col(f"s{k}"), 16 * lane).bitwiseAND(F.lit(0xFFFF))
-            out = out.bitwiseOR(F.when(2 * count > n, F.lit(bit - (1 << 64) if bit >> 63 else bit)).otherwise(F.lit(0)))
-    return df.select("*", *(s.alias(f"s{k}") for k, s in enumerate(sums))).select(*df.columns, out.alias(name))
+
+    def of(bits: int) -> Column:
+        every = 64 // bits
+        ones = F.lit(_signed(sum(1 << bits * i for i in range(every))))
+        lane = lambda k: F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, x: acc + F.shiftrightunsigned(x, k).bitwiseAND(ones))
+        return F.array(*(lane(k) for k in range(bits)))
+
+    def packed(sums: str, bits: int) -> Column:
+        out = F.lit(0).cast("long")
+        for k in range(bits):
+            for lane in range(64 // bits):
+                count = F.shiftrightunsigned(F.get(sums, F.lit(k)), bits * lane).bitwiseAND(F.lit((1 << bits) - 1))
+                out = out.bitwiseOR(F.when(2 * count > n, F.lit(_signed(1 << bits * lane + k))).otherwise(F.lit(0)))
+        return out
+
+    (narrow, most), (wide, _) = LANES
+    summed = df.withColumn("__sums", F.when(n <= most, of(narrow)).otherwise(of(wide)))
+    return summed.select(*df.columns, F.when(n <= most, packed("__sums", narrow)).otherwise(packed("__sums", wide)).alias(name))
 
 
 def _block(fp: Column, i: int) -> Column:
@@ -67,9 +94,10 @@ def item_keys(fp: Column) -> Column:
 
 
 def weighted_similarity(a: Column, b: Column) -> Column:
-    """Sum of the lesser over the sum of the greater counts of each shingle in two multisets."""
+    """Sum of the lesser over the sum of the greater counts of each shingle in two sorted multisets."""
     times = lambda arr, h: F.size(F.filter(arr, lambda x: x == h))
-    common = F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, h: acc + F.least(times(a, h), times(b, h)))
+    again = lambda arr: F.filter(arr, lambda x, i: (i > 0) & (F.get(arr, i - 1) == x))
+    common = F.aggregate(F.array_intersect(again(a), again(b)), F.size(F.array_intersect(a, b)), lambda acc, h: acc + F.least(times(a, h), times(b, h)) - 1)
     return common / (F.size(a) + F.size(b) - common)
 
 
@@ -80,33 +108,36 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     differ in RADIUS bits at most and the weighted similarity of their shingles is LEAST_SIMILARITY or more; of
     equal windows the first is given. mark is a hash of the text; rows equal in id and text give one result.
     Null and word-less texts leak nothing, nor do such items and those without an id; null ids of texts stay null.
+    Repeated items are one; an item id of two texts is two items. Without texts or items there are no rows.
     """
     item = items.select(F.col(item_id).alias("item_id"), words_of(F.col(item_text)).alias("w")).where(F.size("w") > 0)
-    item = with_simhash(item.select("item_id", F.size("w").alias("len"), shingles_of(F.col("w")).alias("own")), "own", "item_fp")
-    item = materialize(item.distinct(), "items")
+    item = with_simhash(with_shingles(item.select("item_id", "w", F.size("w").alias("len")), "w", "own").drop("w"), "own", "item_fp")
+    item = materialize(item.withColumn("own", F.array_sort("own")).distinct(), "items")
     single = item.select("item_id", "len", F.size("own").alias("m"), F.explode(F.array_distinct("own")).alias("h"))
-    if single.count() <= MOST_BROADCAST:
+    if 40 * single.count() <= MOST_BROADCAST:
         single = F.broadcast(single)
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    placed = text.select("id", "mark", words_of(F.col("text")).alias("w")).select("id", "mark", F.size("w").alias("n"), F.posexplode(shingles_of(F.col("w"))).alias("pos", "h"))
+    placed = with_shingles(text.select("id", "mark", words_of(F.col("text")).alias("w")), "w", "all").select("id", "mark", F.size("w").alias("n"), F.posexplode_outer("all").alias("pos", "h"))  # not outer, a filter would compute all shingles twice
     hits = placed.join(single, "h")
-    enough = F.ceil(F.lit(LEAST_SIMILARITY) * F.col("m") - 1e-9)
+    enough = F.greatest(F.ceil(F.lit(LEAST_SHARED) * F.col("m")), F.lit(1)).cast("int")
     near = hits.groupBy("id", "mark", "n", "item_id", "len", "m").agg(F.array_sort(F.collect_set("pos")).alias("at")).where(F.size("at") >= enough)
     span = F.col("m") - 1  # from a window's first shingle to its last
-    first = F.greatest(F.array_min("at") - span, F.lit(0))
-    last = F.greatest(F.least(F.array_max("at"), F.col("n") - F.col("len")), F.lit(0))
-    inside = lambda s: F.size(F.filter("at", lambda p: (p >= s) & (p <= s + span)))
-    starts = F.when(first <= last, F.filter(F.sequence(first, last), lambda s: inside(s) >= enough))
+    # a window has enough if it has some hit and the one that is enough - 1 after it: a run of starts for each such two
+    low = lambda i: F.greatest(F.get("at", i + enough - 1) - span, F.lit(0))
+    high = lambda i: F.least(F.get("at", i), F.greatest(F.col("n") - F.col("len"), F.lit(0)))
+    runs = F.transform(F.sequence(F.lit(0), F.size("at") - enough), lambda i: F.when(low(i) <= high(i), F.sequence(low(i), high(i))).otherwise(F.array().cast("array<int>")))
+    starts = F.array_distinct(F.flatten(runs))
     windows = near.select("id", "mark", "len", F.explode(starts).alias("start")).distinct()
     of_text = materialize(windows.groupBy("id", "mark").agg(F.collect_list(F.struct("len", "start")).alias("windows")), "windows")
     of_text = of_text.select(F.col("id").alias("w_id"), F.col("mark").alias("w_mark"), "windows")
-    if of_text.count() <= MOST_TEXTS:  # or else all texts are shuffled for a few
+    held = of_text.agg(F.coalesce(F.sum(40 + 12 * F.size("windows")), F.lit(0)).alias("bytes")).first()["bytes"]
+    if held <= MOST_BROADCAST:  # or else all texts are shuffled for a few
         of_text = F.broadcast(of_text)
     cut = text.join(of_text, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark")))
-    cut = cut.select("id", "mark", words_of(F.col("text")).alias("w"), "windows").select("id", "mark", shingles_of(F.col("w")).alias("all"), F.explode("windows").alias("x"))
+    cut = with_shingles(cut.select("id", "mark", words_of(F.col("text")).alias("w"), "windows"), "w", "all").select("id", "mark", "all", F.explode("windows").alias("x"))
     part = F.slice("all", F.col("x.start") + 1, F.greatest(F.col("x.len") - WIDTH + 1, F.lit(1)))
     cut = with_simhash(cut.select("id", "mark", F.col("x.len").alias("len"), F.col("x.start").alias("start"), part.alias("part")), "part").dropDuplicates(["id", "mark", "len", "start"])
-    cut = materialize(cut, "fingerprinted")
+    cut = materialize(cut.withColumn("part", F.array_sort("part")), "fingerprinted")
     left = cut.select("id", "mark", "len", "start", "fp", F.explode(window_keys(F.col("fp"))).alias("key"))
     right = item.select("item_id", "len", "item_fp", F.explode(item_keys(F.col("item_fp"))).alias("key"))
     found = left.join(right, ["len", "key"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("id", "mark", "len", "start", "item_id").distinct()
