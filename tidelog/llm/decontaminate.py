@@ -1,7 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, weighted-shingle similarity.
 
-Only Spark SQL expressions. A window can be similar to an item only if it has most of the item's own shingles, so
-windows with less than LEAST_SHARED of them are never fingerprinted; this leaves out nothing that the last step would keep.
+Only Spark SQL expressions. All windows are fingerprinted that share a shingle with an item of their size; others have
+a similarity of zero.
 """
 
 from __future__ import annotations
@@ -16,8 +16,6 @@ from tidelog.llm.common import materialize
 #: Words of a shingle; ``with_shingles`` is written for five.
 WIDTH = 5
 LEAST_SIMILARITY = 0.8
-#: Windows with this share of an item's shingles are fingerprinted; similar ones have LEAST_SIMILARITY or more.
-LEAST_SHARED = 0.6
 #: 64 bits in 8 blocks: fingerprints that differ in up to 23 bits have a block that differs in 2 at most.
 BLOCKS, ERRORS = 8, 2
 RADIUS = BLOCKS * (ERRORS + 1) - 1
@@ -113,20 +111,18 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     item = items.select(F.col(item_id).alias("item_id"), words_of(F.col(item_text)).alias("w")).where(F.size("w") > 0)
     item = with_simhash(with_shingles(item.select("item_id", "w", F.size("w").alias("len")), "w", "own").drop("w"), "own", "item_fp")
     item = materialize(item.withColumn("own", F.array_sort("own")).distinct(), "items")
-    single = item.select("item_id", "len", F.size("own").alias("m"), F.explode(F.array_distinct("own")).alias("h"))
+    single = item.select("len", F.size("own").alias("m"), F.explode(F.array_distinct("own")).alias("h")).distinct()
     if 40 * single.count() <= MOST_BROADCAST:
         single = F.broadcast(single)
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     placed = with_shingles(text.select("id", "mark", words_of(F.col("text")).alias("w")), "w", "all").select("id", "mark", F.size("w").alias("n"), F.posexplode_outer("all").alias("pos", "h"))  # not outer, a filter would compute all shingles twice
     hits = placed.join(single, "h")
-    enough = F.greatest(F.ceil(F.lit(LEAST_SHARED) * F.col("m")), F.lit(1)).cast("int")
-    near = hits.groupBy("id", "mark", "n", "item_id", "len", "m").agg(F.array_sort(F.collect_set("pos")).alias("at")).where(F.size("at") >= enough)
-    span = F.col("m") - 1  # from a window's first shingle to its last
-    # a window has enough if it has some hit and the one that is enough - 1 after it: a run of starts for each such two
-    low = lambda i: F.greatest(F.get("at", i + enough - 1) - span, F.lit(0))
-    high = lambda i: F.least(F.get("at", i), F.greatest(F.col("n") - F.col("len"), F.lit(0)))
-    runs = F.transform(F.sequence(F.lit(0), F.size("at") - enough), lambda i: F.when(low(i) <= high(i), F.sequence(low(i), high(i))).otherwise(F.array().cast("array<int>")))
-    starts = F.array_distinct(F.flatten(runs))
+    near = hits.groupBy("id", "mark", "n", "len", "m").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    # the windows around each hit, without those that the hit before gave
+    last = F.greatest(F.col("n") - F.col("len"), F.lit(0))
+    low = lambda p, i: F.greatest(p - F.col("m") + 1, F.when(i > 0, F.get("at", i - 1) + 1).otherwise(0), F.lit(0))
+    runs = F.transform("at", lambda p, i: F.when(low(p, i) <= F.least(p, last), F.sequence(low(p, i), F.least(p, last))).otherwise(F.array().cast("array<int>")))
+    starts = F.flatten(runs)
     windows = near.select("id", "mark", "len", F.explode(starts).alias("start")).distinct()
     of_text = materialize(windows.groupBy("id", "mark").agg(F.collect_list(F.struct("len", "start")).alias("windows")), "windows")
     of_text = of_text.select(F.col("id").alias("w_id"), F.col("mark").alias("w_mark"), "windows")
