@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.operators.ordered import numbered
+
 PUT, DELETE = "put", "del"
 
 
@@ -64,6 +66,17 @@ def scan_range(log: DataFrame, low, high) -> DataFrame:
     return live(log.where(F.col("key").between(low, high)))
 
 
+def ordered_scan(log: DataFrame) -> DataFrame:
+    """``key, value, n``: the live rows by key, numbered from 0."""
+    return numbered(live(log).select("key", "value"), "key")
+
+
+def bounds(log: DataFrame) -> DataFrame:
+    """``min_key, min_value, max_key, max_value`` of the live rows."""
+    ends = live(log).agg(F.min(F.struct("key", "value")).alias("a"), F.max(F.struct("key", "value")).alias("z"))
+    return ends.select(F.col("a.key").alias("min_key"), F.col("a.value").alias("min_value"), F.col("z.key").alias("max_key"), F.col("z.value").alias("max_value"))
+
+
 def after_clear(log: DataFrame, cleared_at: int) -> DataFrame:
     """What is live if the store was emptied at a sequence number."""
     return live(log.where(F.col("seq") > cleared_at))

@@ -31,6 +31,16 @@ def follower_state(log: DataFrame, followers: DataFrame) -> DataFrame:
     return last.where("last.op = 'put'").select("follower", "key", F.col("last.value").alias("value"))
 
 
+def with_follower(followers: DataFrame, name: str) -> DataFrame:
+    """Another follower, which has nothing yet; one that is known stays as it is."""
+    new = followers.sparkSession.createDataFrame([(name, 0)], "follower string, hwm long")
+    return followers.unionByName(new.join(followers.select("follower"), "follower", "left_anti"))
+
+
+def without_follower(followers: DataFrame, name: str) -> DataFrame:
+    return followers.where(F.col("follower") != name)
+
+
 def lag(log: DataFrame, followers: DataFrame) -> DataFrame:
     return followers.join(F.broadcast(latest_seq(log)), F.lit(True)).select("follower", (F.col("latest_seq") - F.col("hwm")).alias("lag"))
 

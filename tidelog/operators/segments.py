@@ -19,8 +19,8 @@ def flush(log: DataFrame, capacity: int) -> DataFrame:
     return numbered(log, "seq").withColumn("segment_id", F.floor(F.col("n") / capacity).cast("long")).drop("n")
 
 
-def flush_exact(log: DataFrame, capacity: int, store: str = "store") -> DataFrame:
-    """``store, seq, key, segment_id`` where keys repeat: a put to a full buffer flushes it first, an overwrite too.
+def flush_exact(log: DataFrame, capacity: int, store: str = "store", overwrites_fit: bool = False) -> DataFrame:
+    """``store, seq, key, segment_id`` where keys repeat: a put to a full buffer flushes it first, an overwrite too, unless ``overwrites_fit``.
 
     The rule is a fold over the puts of a store, whose number and keys are in one task; stores run in parallel.
     """
@@ -30,7 +30,7 @@ def flush_exact(log: DataFrame, capacity: int, store: str = "store") -> DataFram
         segment, out = 0, []
         pdf = pdf.sort_values("seq")
         for key in pdf["key"]:
-            if len(held) >= capacity:
+            if len(held) >= capacity and not (overwrites_fit and key in held):
                 held.clear()
                 segment += 1
             held.add(key)
@@ -41,6 +41,12 @@ def flush_exact(log: DataFrame, capacity: int, store: str = "store") -> DataFram
     return log.select(store, "seq", "key").groupBy(store).applyInPandas(fold, f"{store} {kinds[store]}, seq long, key {kinds['key']}, segment_id long")
 
 
+def buffer_full(log: DataFrame, capacity: int, store: str = "store") -> DataFrame:
+    """``store, n_keys, full``: whether each store's buffer, which holds all keys of its log, has room for another key."""
+    held = log.groupBy(store).agg(F.count_distinct("key").alias("n_keys"))
+    return held.select(store, "n_keys", (F.col("n_keys") >= capacity).alias("full"))
+
+
 def catalog(segments: DataFrame) -> DataFrame:
     """Rows, distinct keys, key range and sequence range of each segment."""
     of = lambda f, c: f(c).alias(f"{f.__name__}_{c}")
@@ -188,9 +194,17 @@ def compact(segments: DataFrame, chosen: DataFrame | list[int], into: int | None
     return rest.select(*merged.columns).unionByName(merged)
 
 
-def write_segment(merged: DataFrame, path: str) -> None:
+def write_segment(merged: DataFrame, path: str, compression: str = "snappy") -> None:
     """A sorted run: range-partitioned and sorted by key, so that files and row groups have narrow key ranges."""
-    merged.repartitionByRange("key").sortWithinPartitions("key").write.mode("error").parquet(path)
+    merged.repartitionByRange("key").sortWithinPartitions("key").write.mode("error").option("compression", compression).parquet(path)
+
+
+def segment_info(spark: SparkSession, path: str) -> DataFrame:
+    """``n_rows, min_key, max_key, n_files, bytes, written``: a written run's entries, key range, size and last time."""
+    files = F.struct("_metadata.file_path", F.col("_metadata.file_size").alias("size"))
+    rows = spark.read.parquet(path).select("key", files.alias("file"), F.col("_metadata.file_modification_time").alias("time"))
+    per = rows.groupBy("file").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.max("time").alias("time"))
+    return per.agg(F.sum("n").alias("n_rows"), F.min("lo").alias("min_key"), F.max("hi").alias("max_key"), F.count("*").alias("n_files"), F.sum("file.size").alias("bytes"), F.max("time").alias("written"))
 
 
 def compact_log(log: DataFrame) -> DataFrame:

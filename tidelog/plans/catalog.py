@@ -148,6 +148,16 @@ def kv_clear_then_put(spark, d):
     return log.after_clear(event_log(spark, d), 500)
 
 
+@query(f"WITH {LG}, {LAST} SELECT key, value, row_number() OVER (ORDER BY key) - 1 AS n FROM last WHERE op = 'put'")
+def kv_ordered_scan(spark, d):
+    return log.ordered_scan(event_log(spark, d))
+
+
+@query(f"WITH {LG}, {LAST} SELECT min(key) AS min_key, arg_min(value, key) AS min_value, max(key) AS max_key, arg_max(value, key) AS max_value FROM last WHERE op = 'put'")
+def kv_bounds(spark, d):
+    return log.bounds(event_log(spark, d))
+
+
 # Segments.
 
 
@@ -170,6 +180,28 @@ def lsm_flush_exact(spark, d):
     return segments.flush_exact(event_log(spark, d).withColumn("store", C("key") % 8), 5)
 
 
+KEPT = _fold_sql("SELECT key % 8 AS store, seq, key FROM lg", "[]::BIGINT[] AS held, 0::BIGINT AS segment_id", "CASE WHEN len(f.held) >= 5 AND NOT list_contains(f.held, o.key) THEN [o.key] ELSE list_distinct(list_append(f.held, o.key)) END, f.segment_id + (len(f.held) >= 5 AND NOT list_contains(f.held, o.key))::INT")
+
+
+@query(f"WITH RECURSIVE {LG}, {KEPT} SELECT store, seq, key, segment_id FROM fold JOIN o USING (store, i)")
+def lsm_flush_overwrites(spark, d):
+    """Flushes of a buffer that takes an overwrite even when it is full."""
+    return segments.flush_exact(event_log(spark, d).withColumn("store", C("key") % 8), 5, overwrites_fit=True)
+
+
+@query(f"WITH {LG} SELECT key % 8 AS store, count(DISTINCT key) AS n_keys, count(DISTINCT key) >= 15 AS \"full\" FROM lg GROUP BY 1")
+def lsm_buffer_full(spark, d):
+    return segments.buffer_full(event_log(spark, d).withColumn("store", C("key") % 8), 15)
+
+
+@query("SELECT count(*) AS n_rows, min(o_orderkey) AS min_key, max(o_orderkey) AS max_key FROM orders")
+def sst_segment_info(spark, d):
+    """Of a sorted run that is written compressed and read again."""
+    path = scratch_path(spark, "run")
+    segments.write_segment(order_log(spark, d), path, "gzip")
+    return segments.segment_info(spark, path).select("n_rows", "min_key", "max_key")
+
+
 @query(f"WITH {SG} SELECT segment_id, count(*) AS n_rows, count(DISTINCT key) AS n_keys, min(key) AS min_key, max(key) AS max_key, min(seq) AS min_seq, max(seq) AS max_seq FROM sg GROUP BY segment_id")
 def lsm_segment_catalog(spark, d):
     return segments.catalog(event_segments(spark, d))
@@ -621,6 +653,11 @@ def repl_follower_state(spark, d):
     return replication.follower_state(event_log(spark, d), followers(spark))
 
 
+@query(f"WITH {FW} SELECT follower, hwm FROM fw WHERE follower <> 'follower-1' UNION ALL SELECT 'follower-9', 0")
+def repl_membership(spark, d):
+    return replication.without_follower(replication.with_follower(replication.with_follower(followers(spark), "follower-9"), "follower-2"), "follower-1")
+
+
 @query(f"WITH {LG}, {FW} SELECT follower, (SELECT coalesce(max(seq), 0) FROM lg) - hwm AS lag FROM fw")
 def repl_lag(spark, d):
     return replication.lag(event_log(spark, d), followers(spark))
