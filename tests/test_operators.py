@@ -218,6 +218,33 @@ def test_entry_types():
         model.key(model.value(Place))
 
 
+@model.key
+@dataclasses.dataclass(frozen=True)
+class Spot:
+    region: str
+    number: int
+
+
+@model.value
+@dataclasses.dataclass(frozen=True)
+class City:
+    at: Spot
+    names: list[str]
+    spots: list[Spot]
+    small: model.Byte
+    open: bool
+
+
+def test_typed_round_trip(spark):
+    rows = [{"at": {"region": "é" * 90, "number": -5}, "names": ["a", ""], "spots": [{"region": "x", "number": 1 << 40}], "small": 200, "open": True}, {"at": {"region": "", "number": 0}, "names": [], "spots": [], "small": 0, "open": False}]
+    df = spark.createDataFrame(rows, model.schema(City))
+    coded = df.select(model.encoded(City, F.struct(*df.columns)).alias("e"))
+    assert bytes(coded.collect()[1]["e"]) == b"\0" + bytes(8) + bytes(4) + bytes(4) + b"\0\0"
+    assert [r.asDict(recursive=True) for r in model.decoded(coded, "e", City).collect()] == rows
+    with pytest.raises(ValueError):
+        model._read(model._layout(City), bytes(coded.collect()[0]["e"])[:-3], 0)
+
+
 def test_csv_and_binary_round_trips(spark, tmp_path):
     entries = [(1, "plain"), (-2, 'a "quoted", text\nof two lines'), (3, "é" * 200), (1 << 40, "")]
     df = spark.createDataFrame(entries, "key long, value string")

@@ -5,13 +5,14 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import hashing, partitioning, sketches
-from tidelog.operators import consensus, log, merkle, mergeable, replication, segments, sstable, txn
+from tidelog.operators import consensus, log, merkle, mergeable, model, replication, segments, sstable, txn
 from tidelog.plans.hash_sql import BYTES, fnv, murmur, xx
 from tidelog.scratch import scratch_path
 from tidelog.sources import files, serde
@@ -873,6 +874,29 @@ def bin_entry_encode(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.hex(serde.binary_entry(C("o_orderkey"), C("o_orderpriority"))).alias("entry"))
 
 
+@model.key
+@dataclasses.dataclass(frozen=True)
+class OrderKey:
+    customer: int
+    order: int
+
+
+@model.value
+@dataclasses.dataclass(frozen=True)
+class OrderEntry:
+    key: OrderKey
+    status: str
+    marks: list[str]
+
+
+@query("SELECT o_custkey AS customer, o_orderkey AS \"order\", o_orderstatus AS status, o_orderpriority || '|' || o_orderstatus AS marks FROM orders")
+def typed_entry_round_trip(spark, d):
+    """Orders as entries of a type, encoded and decoded."""
+    rows = table(spark, d, "orders").select(F.struct(F.struct(C("o_custkey").alias("customer"), C("o_orderkey").alias("order")).alias("key"), C("o_orderstatus").alias("status"), F.array("o_orderpriority", "o_orderstatus").alias("marks")).alias("x"))
+    back = model.decoded(rows.select(model.encoded(OrderEntry, C("x")).alias("e")), "e", OrderEntry)
+    return back.select("key.customer", "key.order", "status", F.array_join("marks", "|").alias("marks"))
+
+
 @query("SELECT o_custkey, o_orderkey, row_number() OVER (ORDER BY o_custkey NULLS FIRST, o_orderkey NULLS FIRST) - 1 AS n FROM orders")
 def composite_key_sort(spark, d):
     return sstable.place(table(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")

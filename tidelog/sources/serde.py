@@ -58,6 +58,21 @@ def binary_entry(key: Column, value: Column) -> Column:
 FIXED = {"int": "<i", "long": "<q", "bigint": "<q", "float": "<f", "double": "<d", "boolean": "<?"}
 
 
+def read_string(content: bytes, at: int) -> tuple[str, int]:
+    """The text that starts with its byte length at a place, and where it ends."""
+    n = shift = 0
+    while True:
+        if at >= len(content):
+            raise ValueError("an entry ends early")
+        b = content[at]
+        at, n, shift = at + 1, n | (b & 127) << shift, shift + 7
+        if b < 128:
+            break
+    if at + n > len(content):
+        raise ValueError("an entry ends early")
+    return content[at : at + n].decode(), at + n
+
+
 def read_entries(content: bytes, kinds: list[str]) -> Iterator[tuple]:
     """Rows of one file of concatenated entries; an entry that ends early is an error."""
     at = 0
@@ -65,18 +80,8 @@ def read_entries(content: bytes, kinds: list[str]) -> Iterator[tuple]:
         row = []
         for kind in kinds:
             if kind == "string":
-                n = shift = 0
-                while True:
-                    if at >= len(content):
-                        raise ValueError("an entry ends early")
-                    b = content[at]
-                    at, n, shift = at + 1, n | (b & 127) << shift, shift + 7
-                    if b < 128:
-                        break
-                if at + n > len(content):
-                    raise ValueError("an entry ends early")
-                row.append(content[at : at + n].decode())
-                at += n
+                text, at = read_string(content, at)
+                row.append(text)
             else:
                 try:
                     row.append(struct.unpack_from(FIXED[kind], content, at)[0])
