@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import binary, slices
+from tidelog.llm.common import binary, slices, trimmed
 
 SLICE_BYTES = 3 << 20
 #: Ids that one decoding query takes, or one text's.
@@ -255,7 +255,7 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, id_col: str = "do
                 yield pa.RecordBatch.from_pydict(columns)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, ids array<int>" + ", bytes binary" * decoded)
+    return rows.mapInArrow(trimmed(run), "id long, ids array<int>" + ", bytes binary" * decoded)
 
 
 def decode(encoded: DataFrame, tokens: list[bytes], pattern: str) -> DataFrame:
@@ -269,7 +269,7 @@ def decode(encoded: DataFrame, tokens: list[bytes], pattern: str) -> DataFrame:
             own = b.column("ids").flatten().to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("ids"), _decoded(coder, own, sizes)], ["id", "ids", "bytes"])
 
-    return encoded.select("id", "ids").mapInArrow(run, "id long, ids array<int>, bytes binary")
+    return encoded.select("id", "ids").mapInArrow(trimmed(run), "id long, ids array<int>, bytes binary")
 
 
 def op1_query(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidelog.scratch import clear_scratch, materialize, shared_dir
 
-__all__ = ["binary", "bitmap", "clear_scratch", "in_bitmap", "materialize", "mix", "shared_dir", "slices", "word_hashes"]
+__all__ = ["binary", "bitmap", "clear_scratch", "in_bitmap", "materialize", "mix", "shared_dir", "slices", "trimmed", "word_hashes"]
 
 #: A bitmap has 16 bits for each key, but 16 MiB at most: with more keys more rows pass, and what follows drops them.
 BITS_EACH, MOST_BITS = 16, 1 << 27
@@ -41,6 +42,20 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.R
         yield batch.slice(start)
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which a worker gives free memory back; workers go on to other stages."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return inner
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads every bit of unsigned longs over all bits."""
     h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)

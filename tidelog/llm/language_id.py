@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import binary
+from tidelog.llm.common import binary, trimmed
 
 WINDOW = 48
 HIDDEN = 8
@@ -253,7 +253,7 @@ def identify(docs: DataFrame, net: BiGru, classes: list[str], id_col: str = "doc
                 start = stop
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "id long, lang_pred string, score double")
 
 
 def is_held_out(id_col: str = "doc_id") -> Column:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import binary, bitmap, in_bitmap, mix, slices, word_hashes
+from tidelog.llm.common import binary, bitmap, in_bitmap, mix, slices, trimmed, word_hashes
 from tidelog.llm.components import connected_components
 from tidelog.scratch import materialize
 
@@ -23,6 +23,8 @@ LEAST_SIMILARITY = 0.8
 #: A line's features are its words of over SHORT bytes, as shorter ones make unrelated lines alike; where these are fewer than FEW_WORDS, its overlapping runs of GRAM bytes.
 SHORT, FEW_WORDS, GRAM = 3, 8, 5
 SLICE_BYTES = 2 << 20
+#: Distinct lines whose keys one task makes and adds up before they are shuffled.
+TASK_KINDS = 100_000
 #: A-Z is lower-cased, digits become 0, white space a space; ASCII punctuation goes later, unless a line has nothing else.
 SPACES = b"\x09\x0b\x0c\x0d\x20"
 FOLD = bytes(ord("0") if 48 <= c <= 57 else c + 32 if 65 <= c <= 90 else 32 if c in SPACES else c for c in range(256))
@@ -145,7 +147,7 @@ def marked_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), lists], ["id", "mark", "lines"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(f"`{text_col}`").alias("mark"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(run, "id long, mark long, lines array<struct<h:long,fp:long>>")
+    return rows.mapInArrow(trimmed(run), "id long, mark long, lines array<struct<h:long,fp:long>>")
 
 
 def _masks() -> list[int]:
@@ -192,7 +194,7 @@ def keyed(kinds: DataFrame, wanted: bytes | None = None) -> DataFrame:
                     row, number, keys = row[hit], number[hit], keys[hit]
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(number, pa.int32()), *(part.column(c).take(pa.array(row)) for c in ("h", "fp", "times"))], ["key", "n_key", "h", "fp", "times"])
 
-    return kinds.select("h", "fp", "times").mapInArrow(run, "key long, n_key int, h long, fp long, times long")
+    return kinds.select("h", "fp", "times").mapInArrow(trimmed(run), "key long, n_key int, h long, fp long, times long")
 
 
 def candidates(kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -253,7 +255,7 @@ def line_texts(docs: DataFrame, wanted: DataFrame, text_col: str = "text") -> Da
                 lines = pa.array([raw[start[i] : end[i]] for i in first[hit].tolist()], pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(h[hit]), lines], ["h", "line"])
 
-    found = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "h long, line string")
+    found = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(trimmed(run), "h long, line string")
     return materialize(found.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")), "line_texts")
 
 
@@ -267,7 +269,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             near = [similar(x, y) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(trimmed(run), "a long, b long")
 
 
 def linked(kinds: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -287,7 +289,9 @@ def line_groups(marked: DataFrame, docs: DataFrame, text_col: str = "text") -> D
     """
     lines = marked.select("id", "mark", F.posexplode("lines").alias("pos", "line")).select("id", "mark", "pos", "line.h", "line.fp").where("h != 0")
     lines = materialize(lines, "lines")
-    kinds = materialize(lines.groupBy("h").agg(F.first("fp").alias("fp"), F.count("*").alias("times")), "line_kinds")
+    kinds = lines.groupBy("h").agg(F.first("fp").alias("fp"), F.count("*").alias("times"))
+    kinds = materialize(kinds, "line_kinds")
+    kinds = kinds.repartition(max(1, -(-kinds.count() // TASK_KINDS)))
     joined = linked(kinds, docs, text_col)
     named = kinds.join(joined, kinds.h == joined.node, "left").where("times > 1 or root is not null").select("h", F.coalesce("root", "h").alias("line_group"))
     grouped = materialize(lines.select("id", "mark", "pos", "h").join(named, "h").select("id", "mark", "pos", "line_group"), "grouped_lines")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from tidelog.llm.common import binary, materialize, mix, slices, word_hashes
+from tidelog.llm.common import binary, materialize, mix, slices, trimmed, word_hashes
 
 #: Context symbols of the longest contexts. A run has 9 bits a symbol, and DOC_BITS are left for a document's number in a slice.
 ORDER, DOC_BITS = 5, 10
@@ -142,7 +142,7 @@ def _totals(rows: DataFrame) -> tuple[np.ndarray, dict[str, int]]:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1 - np.arange(len(names)))), pa.array(np.append(pairs[at], sums))], ["code", "n"])
 
     low, sums = np.zeros((512, 512), np.int64), dict.fromkeys(names, 0)
-    for r in rows.select("held_out", "text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():  # SYMBOLS squared rows and four at most
+    for r in rows.select("held_out", "text").mapInArrow(trimmed(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():  # SYMBOLS squared rows and four at most
         if r["code"] < 0:
             sums[names[-1 - r["code"]]] = r["n"]
         else:
@@ -201,7 +201,7 @@ def _requests(rows: DataFrame, shards: int) -> DataFrame:
         if current is not None:
             yield from ask(current, kinds)
 
-    return rows.select("block", "held_out", "text").mapInArrow(run, "shard int, block long, codes array<long>, counts array<long>")
+    return rows.select("block", "held_out", "text").mapInArrow(trimmed(run), "shard int, block long, codes array<long>, counts array<long>")
 
 
 def _replies(requests: DataFrame, shards: int, low: np.ndarray) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import binary, materialize, slices
+from tidelog.llm.common import binary, materialize, slices, trimmed
 
 #: White space and UTF-8 continuation bytes: what is left of a text without them has one byte per code point in words.
 NOT_COUNTED = b"\x20\x09\x0a\x0b\x0c\x0d" + bytes(range(0x80, 0xC0))
@@ -84,7 +84,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("host"), b.column("mark"), *own, pa.ListArray.from_arrays(pa.array(ends), pairs)], ["id", "host", "mark", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(host_col).alias("host"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id long, host string, mark long, {MEASURES}, lines array<struct<h:long,w:int>>")
+    return rows.mapInArrow(trimmed(run), f"id long, host string, mark long, {MEASURES}, lines array<struct<h:long,w:int>>")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:

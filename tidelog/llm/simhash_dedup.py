@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import binary, materialize, slices
+from tidelog.llm.common import binary, materialize, slices, trimmed
 from tidelog.llm.components import connected_components
 from tidelog.llm.shingle_groups import similar_groups
 
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["id", "mark", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, mark long, fp long")
+    return rows.mapInArrow(trimmed(run), "id long, mark long, fp long")
 
 
 def _syndromes() -> np.ndarray:
@@ -114,7 +114,7 @@ def fuzzy_keys(fps: DataFrame, column: str = "fp") -> DataFrame:
                     keys.append(key[first])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(rows))], ["key", "fp"])
 
-    return fps.select(F.col(column).alias("fp")).mapInArrow(run, "key long, fp long")
+    return fps.select(F.col(column).alias("fp")).mapInArrow(trimmed(run), "key long, fp long")
 
 
 def links(fps: DataFrame) -> DataFrame:
