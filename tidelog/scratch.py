@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,14 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``.
 
-    Where that is unset, a local master gets a temporary folder, which is then set. On a cluster it is an error, as
+    Where that is unset, a local master gets a temporary folder, which is then set and goes with the process. On a cluster it is an error, as
     executors don't see each other's disks.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="tidelog-")
+        own = tempfile.mkdtemp(prefix="tidelog-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        at = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
