@@ -269,6 +269,15 @@ def test_secrets(spark, got, docs):
         assert r["base_sha256"] == hashlib.sha256(line.encode()).hexdigest() and (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == i for _, k, _ in spans) for i in range(3))
 
 
+def test_many_secrets(spark):
+    """A text of more matches than one array of spans holds."""
+    r = random.Random(2)
+    words = [f"{r.getrandbits(80):020x}" if r.random() < 0.8 else "plain" for _ in range(1500)]
+    text = " é ".join(words)
+    found = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["base"]
+    assert [(s["start"], s["end"]) for s in found] == [m.span() for m in re.finditer("[0-9a-f]{16,}", text)] and len(found) > 1000
+
+
 def test_markov(spark):
     r = random.Random(4)
     draw = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"

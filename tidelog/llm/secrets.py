@@ -25,6 +25,9 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Characters of the Markov chains; all others count as the last state.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 STATES = len(ALPHABET) + 1
+SPANS = "array<struct<start:int,kind:int,end:int>>"
+#: Spans that an array holds before another one is begun, as to append copies an array.
+CHUNK = 200
 #: A candidate is a secret if its log-likelihood ratio is above the first, and above the second a transition.
 LEAST_RATIO, LEAST_RATE = 12.0, 0.5
 #: Words of which sample identifiers are made.
@@ -89,19 +92,23 @@ def _spans(text: Column, kind: int, pattern: str, counts: Column | None = None,
     """Array of (start, kind, end) of a pattern's leftmost matches whose ``counts`` group has ``least`` characters."""
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
     own = F.zip_with(F.zip_with(F.transform(F.split(text, pattern, -1), F.length), F.transform(found, F.length), lambda gap, n: F.struct(gap.alias("gap"), n.alias("n"))), found if counts is None else counts, lambda g, c: F.struct(g["gap"].alias("gap"), g["n"].alias("n"), F.length(c).alias("c")))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    none = lambda kind: F.array().cast(kind)
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
+        counts, full = x["c"] >= least, F.size(acc["chunk"]) >= CHUNK
         span = F.struct(start.cast("int").alias("start"), F.lit(kind).alias("kind"), (start + x["n"]).cast("int").alias("end"))
-        return F.struct((start + x["n"]).alias("at"), F.when(x["c"] >= least, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        chunk = F.when(~counts, acc["chunk"]).when(full, F.array(span)).otherwise(F.array_append(acc["chunk"], span))
+        chunks = F.when(counts & full, F.array_append(acc["chunks"], acc["chunk"])).otherwise(acc["chunks"])
+        return F.struct((start + x["n"]).alias("at"), chunk.alias("chunk"), chunks.alias("chunks"))
 
     cut = F.filter(own, lambda x: x["n"].isNotNull())  # the piece after the last match has no match
-    return F.aggregate(cut, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+    begin = F.struct(F.lit(0).alias("at"), none(SPANS).alias("chunk"), none(f"array<{SPANS}>").alias("chunks"))
+    return F.aggregate(cut, begin, step, lambda acc: F.flatten(F.array_append(acc["chunks"], acc["chunk"])))
 
 
 def _or_none(test: Column, spans: Column) -> Column:
-    return F.when(test, spans).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+    return F.when(test, spans).otherwise(F.array().cast(SPANS))
 
 
 def find_secrets(docs: DataFrame, ratios: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
