@@ -31,7 +31,7 @@ KEPT_WORDS = 400_000
 #: Rounds of a recursive query; words that aren't done go into another one, so its rows stay few.
 ROUNDS = 32
 #: Bytes of new words in one recursive query, so that its rows and hash tables fit the engine's memory; a longer word has one to itself.
-QUERY_BYTES = 192 << 10
+QUERY_BYTES = 112 << 10
 
 #: Longest word, in bytes, that goes into a recursive query.
 LONG = 256
