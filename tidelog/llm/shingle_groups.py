@@ -1,8 +1,11 @@
 """Groups of documents whose word-shingle sets have a Jaccard similarity of 0.8 or more.
 
-Candidates come from MinHash bands: BANDS keys of ROWS minima each. A pair of similarity s has a key in common with
-probability 1 - (1 - s^ROWS)^BANDS: 0.999997 at 0.8, and more above. Each candidate pair is verified on the shingle
-sets (as 64-bit hashes), so nothing below the limit is linked.
+Candidates come from SimHash and the Golay code. At a similarity of 0.8 each SimHash bit differs with probability
+0.151 at most, too often for keys of 64 bits, so a shingle's hash is stretched to TABLES pairs of 23-bit segments. A
+segment is decoded by its counts, not only its bits, and a table's keys are the PROBES pairs of codewords that fit best.
+Two documents at 0.8 share a key of a table with probability 0.356 (by simulation), so one of all with 1 - 0.644^TABLES:
+0.99997, and more above. Keys that chance shares are dropped by CHECKED further SimHash bits within RADIUS. Each pair
+left is verified on the shingle sets (as 64-bit hashes), so nothing below the limit is linked.
 """
 
 from __future__ import annotations
@@ -15,19 +18,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import binary, materialize, slices, trimmed
+from tidelog.llm.common import binary, materialize, mix, slices, trimmed
 from tidelog.llm.components import connected_components
+from tidelog.llm.golay import Golay, likeliest
 
 LEAST_JACCARD = 0.8
-BANDS, ROWS = 32, 5
+TABLES, PROBES = 24, 4
+#: At 0.8 each checked bit differs with probability 0.151 (0.188 for sets of 4 and 5 shingles), by chance with 0.5.
+CHECKED, RADIUS = 128, 44
+WORDS = CHECKED // 64 + -(-46 * TABLES // 64)
 SLICE_BYTES = 2 << 20
 #: Pairs of keys with more nodes are compared in cells of two blocks of about BLOCK nodes, without a row for each pair.
 SMALL_KEY, BLOCK = 24, 512
-#: Shingles hashed at once, so that a long text takes a bounded matrix.
-CHUNK = 2048
-_draw = np.random.default_rng(42)
-TIMES = _draw.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) << np.uint64(1) | np.uint64(1)
-PLUS = _draw.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
+#: Shingles counted at once, in bytes; segments decoded at once.
+CHUNK, DECODED = 255, 1024
+STEPS = np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -39,13 +44,24 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64))
 
 
-def band_keys(own: np.ndarray) -> np.ndarray:
-    """BANDS keys, as signed longs; sets have one in common if their ROWS minima of that band are equal."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+def simhash_votes(own: np.ndarray) -> np.ndarray:
+    """For each of 64 * WORDS SimHash bits, shingles without it less those with it; the bit is one if that is negative."""
+    ones = np.zeros(64 * WORDS, np.int64)
     for i in range(0, len(own), CHUNK):
-        np.minimum(least, (TIMES * own[i : i + CHUNK] + PLUS).min(1), out=least)
-    bands = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(bands)], np.uint64).view(np.int64)
+        bits = np.unpackbits(mix(own[i : i + CHUNK, None] + STEPS).view(np.uint8), axis=1, bitorder="little")
+        ones += bits.sum(0, np.uint8)
+    return len(own) - 2 * ones
+
+
+def golay_keys(votes: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """TABLES * PROBES keys of each row of votes: of each two segments, the pairs of codewords that fit best together."""
+    parts = votes[:, CHECKED : CHECKED + 46 * TABLES].reshape(-1, 23).astype(np.float32)
+    decoded = [likeliest(signs, parts[i : i + DECODED], PROBES) for i in range(0, len(parts), DECODED)]
+    index, fit = (np.concatenate(x).reshape(-1, 2, PROBES) for x in zip(*decoded, strict=True))
+    i, j = np.nonzero(np.add.outer(np.arange(PROBES), np.arange(PROBES)) < PROBES)
+    best = np.argsort(-(fit[:, 0, i] + fit[:, 1, j]), axis=1, kind="stable")[:, :PROBES]
+    pairs = np.take_along_axis(index[:, 0, i] << 12 | index[:, 1, j], best, 1).reshape(len(votes), TABLES, PROBES)
+    return (np.arange(TABLES)[:, None] << 24 | pairs).reshape(len(votes), -1).astype(np.int32)
 
 
 def _node(own: np.ndarray) -> int:
@@ -57,17 +73,35 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def marked_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``id, mark`` (a hash of the text), ``node`` (a hash of the shingle set) and ``keys`` of every row."""
+    """``id, mark`` (a hash of the text), ``node`` (a hash of the shingle set), its ``size``, checked bits ``lo, hi`` and ``keys`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signs = Golay().signs()
         for b in batches:
             for part in slices(b, "text", SLICE_BYTES):
                 sets = [shingle_set(t, width) for t in binary(part.column("text"))]
-                keys = np.concatenate([band_keys(s) for s in sets])
-                ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), pa.array([_node(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(keys))], ["id", "mark", "node", "keys"])
+                votes = np.stack([simhash_votes(s) for s in sets])
+                checked = np.packbits(votes[:, :CHECKED] < 0, axis=1, bitorder="little").view(np.int64)
+                ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * TABLES * PROBES)
+                keys = pa.ListArray.from_arrays(ends, pa.array(golay_keys(votes, signs).ravel()))
+                own = [pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(checked[:, 0]), pa.array(checked[:, 1])]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), *own, keys], ["id", "mark", "node", "size", "lo", "hi", "keys"])
+
+    return _rows(docs, id_col, text_col).mapInArrow(trimmed(run), "id long, mark long, node long, size long, lo long, hi long, keys array<int>")
 
-    return _rows(docs, id_col, text_col).mapInArrow(trimmed(run), "id long, mark long, node long, keys array<long>")
+
+def shared_keys(marked: DataFrame) -> DataFrame:
+    """``key, node, n`` of the keys that n nodes share; up to SMALL_KEY, only of nodes whose checked bits are near another's there."""
+    nodes = materialize(marked.select("node", "size", "lo", "hi", "keys").dropDuplicates(["node"]), "shingle_nodes")
+    keys = nodes.select(F.explode("keys").alias("key"), "node")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    crowd = materialize(keys.join(shared, "key"), "golay_keys")
+    few = crowd.where(F.col("n") <= SMALL_KEY).join(nodes.drop("keys"), "node").groupBy("key").agg(F.collect_list(F.struct("node", "size", "lo", "hi")).alias("g"))
+    apart = lambda x, y: F.bit_count(x["lo"].bitwiseXOR(y["lo"])) + F.bit_count(x["hi"].bitwiseXOR(y["hi"]))
+    sized = lambda x, y: F.least(x["size"], y["size"]) >= LEAST_JACCARD * F.greatest(x["size"], y["size"])
+    near = F.filter("g", lambda x: F.exists("g", lambda y: (x["node"] != y["node"]) & (apart(x, y) <= RADIUS) & sized(x, y)))
+    few = few.select("key", F.size("g").cast("long").alias("n"), F.explode(near["node"]).alias("node")).select("key", "node", "n")
+    return few.unionByName(crowd.where(F.col("n") > SMALL_KEY).select("key", "node", "n"))
 
 
 def candidate_sets(docs: DataFrame, marked: DataFrame, crowd: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -156,11 +190,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are compared only between groups.
     """
     marked = materialize(marked_sets(docs, id_col, text_col, width), "marked_sets")
-    keys = marked.select("node", F.explode("keys").alias("key")).distinct()
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    crowd = materialize(keys.join(shared, "key"), "band_keys")
+    crowd = materialize(shared_keys(marked), "shared_keys")
     degree = crowd.groupBy("node").agg(F.sum("n").alias("degree"))
-    crowd = materialize(crowd.select("key", "node").join(degree, "node"), "band_degrees")
+    crowd = materialize(crowd.select("key", "node").join(degree, "node"), "key_degrees")
     sets = candidate_sets(docs, marked, crowd, id_col, text_col, width)
     lead = crowd.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("lead")).select("key", F.col("lead.node").alias("lead"))
     stars = materialize(verified(crowd.join(lead, "key").where("node != lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")), sets), "shingle_stars")

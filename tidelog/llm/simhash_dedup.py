@@ -10,7 +10,6 @@ of one exact segment with the codeword indices of the next, find every pair with
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +19,9 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import binary, materialize, slices, trimmed
 from tidelog.llm.components import connected_components
+from tidelog.llm.golay import Golay
 from tidelog.llm.shingle_groups import similar_groups
 
-#: Fixed value: generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
-GOLAY = 0b110001110101
 SEED = 42
 #: Buckets of more fingerprints than this are linked through common neighbours instead of pair by pair.
 SMALL_BUCKET = 6
@@ -58,42 +56,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(trimmed(run), "id long, mark long, fp long")
 
 
-def _syndromes() -> np.ndarray:
-    """Remainder modulo the generator of the 12 low and of the 11 high bits of a vector."""
-    of = np.zeros((2, 4096), np.int64)
-    for part in (0, 1):
-        for x in range(4096 if part == 0 else 2048):
-            r = x << 12 * part
-            for bit in range(22, 10, -1):
-                if r >> bit & 1:
-                    r ^= GOLAY << bit - 11
-            of[part, x] = r
-    return of
-
-
-def _errors(of: np.ndarray) -> np.ndarray:
-    """For each syndrome, six error vectors of weight 4 or less with it; where there is one, it is repeated."""
-    found: dict[int, list[int]] = {}
-    for weight in range(5):
-        for at in combinations(range(23), weight):
-            e = sum(1 << i for i in at)
-            found.setdefault(int(of[0, e & 4095] ^ of[1, e >> 12]), []).append(e)
-    return np.array([(found[s] * 6)[:6] for s in range(2048)], np.int64)
-
-
-class Golay:
-    """Codeword indices (12 bits) within distance 4 of 23-bit vectors."""
-
-    def __init__(self) -> None:
-        self.of = _syndromes()
-        self.errors = _errors(self.of)
-
-    def keys(self, x: np.ndarray) -> np.ndarray:
-        """An array of six columns; a single index is repeated."""
-        s = self.of[0, x & 4095] ^ self.of[1, x >> 12]
-        return (x[:, None] ^ self.errors[s]) >> 11
-
-
 def fuzzy_keys(fps: DataFrame, column: str = "fp") -> DataFrame:
     """``(key, fp)``: the 3 to 18 keys of each fingerprint."""
 
@@ -162,8 +124,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """One document of every group, that of the smallest id, with all its columns.
 
-    Groups are those of ``shingle_groups.similar_groups``: similarity 0.8 or more. Of rows equal in that id, that
-    of the smallest text hash stays; of wholly equal ones, one. Rows without an id stay only if their group has
+    Groups are those of ``shingle_groups.similar_groups``: candidates by SimHash and Golay keys, similarity 0.8 or
+    more. Of rows equal in that id, that of the smallest text hash stays; of wholly equal ones, one. Rows without an id stay only if their group has
     no id at all, one of them.
     """
     groups = materialize(similar_groups(docs, id_col, text_col, width), "groups")
