@@ -90,18 +90,51 @@ def marked_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> Data
     return _rows(docs, id_col, text_col).mapInArrow(trimmed(run), "id long, mark long, node long, size long, lo long, hi long, keys array<int>")
 
 
+def near_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which columns of ``rows`` (key, node, size, lo, hi; sorted by key) are near another of their key, and how many each key has."""
+    key, node, size, *checked = rows
+    found = np.zeros(len(key), bool)
+    _, which, times = np.unique(key, return_inverse=True, return_counts=True)
+    for step in range(1, times.max(initial=0)):
+        at = np.flatnonzero((key[step:] == key[:-step]) & (node[step:] != node[:-step]))
+        apart = sum(np.bitwise_count((x[at] ^ x[at + step]).view(np.uint64)).astype(np.int64) for x in checked)
+        sized = np.minimum(size[at], size[at + step]) >= LEAST_JACCARD * np.maximum(size[at], size[at + step])
+        at = at[(apart <= RADIUS) & sized]
+        found[at] = found[at + step] = True
+    return found, times[which]
+
+
+def near_keys(rows: DataFrame) -> DataFrame:
+    """``key, node, n`` of the rows ``key, node, size, lo, hi`` that are near another of their key, which has n.
+
+    Rows are compared where they are sorted by key, so only those that are near leave the task, not all that chance brings
+    together. No key may have more rows than a task should hold.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def kept(rows: np.ndarray) -> pa.RecordBatch:
+            found, n = near_rows(rows)
+            return pa.RecordBatch.from_arrays([pa.array(rows[0, found].astype(np.int32)), pa.array(rows[1, found]), pa.array(n[found])], ["key", "node", "n"])
+
+        held = np.empty((5, 0), np.int64)
+        for b in batches:
+            held = np.concatenate([held, np.stack([x.to_numpy(zero_copy_only=False).astype(np.int64) for x in b.columns])], axis=1)
+            whole = np.searchsorted(held[0], held[0, -1]) if held.size else 0
+            yield kept(held[:, :whole])
+            held = held[:, whole:]  # its last key may go on in the next batch
+        yield kept(held)
+
+    rows = rows.select("key", "node", "size", "lo", "hi").repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(trimmed(run), "key int, node long, n long")
+
+
 def shared_keys(marked: DataFrame) -> DataFrame:
     """``key, node, n`` of the keys that n nodes share; up to SMALL_KEY, only of nodes whose checked bits are near another's there."""
     nodes = materialize(marked.select("node", "size", "lo", "hi", "keys").dropDuplicates(["node"]), "shingle_nodes")
-    keys = nodes.select(F.explode("keys").alias("key"), "node")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    crowd = materialize(keys.join(shared, "key"), "golay_keys")
-    few = crowd.where(F.col("n") <= SMALL_KEY).join(nodes.drop("keys"), "node").groupBy("key").agg(F.collect_list(F.struct("node", "size", "lo", "hi")).alias("g"))
-    apart = lambda x, y: F.bit_count(x["lo"].bitwiseXOR(y["lo"])) + F.bit_count(x["hi"].bitwiseXOR(y["hi"]))
-    sized = lambda x, y: F.least(x["size"], y["size"]) >= LEAST_JACCARD * F.greatest(x["size"], y["size"])
-    near = F.filter("g", lambda x: F.exists("g", lambda y: (x["node"] != y["node"]) & (apart(x, y) <= RADIUS) & sized(x, y)))
-    few = few.select("key", F.size("g").cast("long").alias("n"), F.explode(near["node"]).alias("node")).select("key", "node", "n")
-    return few.unionByName(crowd.where(F.col("n") > SMALL_KEY).select("key", "node", "n"))
+    keys = nodes.select(F.explode("keys").alias("key"), "node", "size", "lo", "hi")
+    crowded = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL_KEY), "golay_crowded")
+    few = near_keys(keys.join(crowded, "key", "left_anti"))
+    return few.unionByName(keys.select("key", "node").join(crowded, "key").select("key", "node", "n"))
 
 
 def candidate_sets(docs: DataFrame, marked: DataFrame, crowd: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
