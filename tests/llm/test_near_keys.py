@@ -85,3 +85,21 @@ def test_chance_makes_no_rows(spark, monkeypatch):
         made.append(sum(written) + joined_rows(found._jdf.queryExecution().executedPlan()))
         assert {x["node"] for x in got} >= {7, many} and len(got) < many / 10
     assert made[1] < 5 * made[0]
+
+
+@pytest.mark.parametrize("buckets", [1, 1 << 14])
+def test_crowded_keys_give_all(spark, monkeypatch, buckets):
+    """Whether a key's bucket is counted or not, keys of up to SMALL_KEY give their near rows and larger ones all."""
+    monkeypatch.setattr(shingle_groups, "BUCKETS", buckets)
+    r = random.Random(3)
+    most = shingle_groups.SMALL_KEY
+    rows = [(k, 100, *checked(r), [1 << 24 | k % 900, 2 << 24 | k // most, *([5] if k <= most else []), *([6] if k < most else []), *([7] if k % 4 == 0 else [])]) for k in range(2000)]
+    rows.append((2000, 100, *checked(r, rows[30][2:4], 30), [1 << 24 | 30, 2 << 24]))
+    marked = spark.createDataFrame(rows, "node long, size long, lo long, hi long, keys array<int>")
+    by_key = {}
+    for x in rows:
+        for key in x[4]:
+            by_key.setdefault(key, []).append((key, *x[:4]))
+    expected = sorted((k, x[1], len(g)) for k, g in by_key.items() for x in g if len(g) > most or any(near(x, y) for y in g))
+    assert {len(by_key[k]) for k in (5, 6, 7, 2 << 24)} == {most, most + 1, 500} and {(1 << 24 | 30, k, 4) for k in (30, 2000)} <= set(expected)
+    assert sorted(map(tuple, shingle_groups.shared_keys(marked).collect())) == expected

@@ -30,6 +30,8 @@ WORDS = CHECKED // 64 + -(-46 * TABLES // 64)
 SLICE_BYTES = 2 << 20
 #: Pairs of keys with more nodes are compared in cells of two blocks of about BLOCK nodes, without a row for each pair.
 SMALL_KEY, BLOCK = 24, 512
+#: Keys are counted where their bucket has over twice the mean; others are in a few of BUCKETS parts of the rows at most.
+BUCKETS = 1 << 14
 #: Shingles counted at once, in bytes; segments decoded at once.
 CHUNK, DECODED = 255, 1024
 STEPS = np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -91,24 +93,29 @@ def marked_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> Data
 
 
 def near_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which columns of ``rows`` (key, node, size, lo, hi; sorted by key) are near another of their key, and how many each key has."""
+    """Which columns of ``rows`` (key, node, size, lo, hi; sorted by key) are near another of their key, and how many each key has.
+
+    Of keys with more than SMALL_KEY, all are.
+    """
     key, node, size, *checked = rows
-    found = np.zeros(len(key), bool)
     _, which, times = np.unique(key, return_inverse=True, return_counts=True)
-    for step in range(1, times.max(initial=0)):
-        at = np.flatnonzero((key[step:] == key[:-step]) & (node[step:] != node[:-step]))
+    n = times[which]
+    few = n <= SMALL_KEY
+    found = ~few
+    for step in range(1, n[few].max(initial=0)):
+        at = np.flatnonzero((key[step:] == key[:-step]) & (node[step:] != node[:-step]) & few[step:])
         apart = sum(np.bitwise_count((x[at] ^ x[at + step]).view(np.uint64)).astype(np.int64) for x in checked)
         sized = np.minimum(size[at], size[at + step]) >= LEAST_JACCARD * np.maximum(size[at], size[at + step])
         at = at[(apart <= RADIUS) & sized]
         found[at] = found[at + step] = True
-    return found, times[which]
+    return found, n
 
 
 def near_keys(rows: DataFrame) -> DataFrame:
-    """``key, node, n`` of the rows ``key, node, size, lo, hi`` that are near another of their key, which has n.
+    """``key, node, n`` of the rows ``key, node, size, lo, hi`` that are near another of their key, which has n, or in one of over SMALL_KEY.
 
     Rows are compared where they are sorted by key, so only those that are near leave the task, not all that chance brings
-    together. No key may have more rows than a task should hold.
+    together. A task holds the rows of a key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +139,11 @@ def shared_keys(marked: DataFrame) -> DataFrame:
     """``key, node, n`` of the keys that n nodes share; up to SMALL_KEY, only of nodes whose checked bits are near another's there."""
     nodes = materialize(marked.select("node", "size", "lo", "hi", "keys").dropDuplicates(["node"]), "shingle_nodes")
     keys = nodes.select(F.explode("keys").alias("key"), "node", "size", "lo", "hi")
-    crowded = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL_KEY), "golay_crowded")
+    bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).alias("bucket")
+    counts = materialize(keys.groupBy(bucket).agg(F.count("*").alias("n")), "key_buckets")
+    full = counts.where(F.col("n") > 2 * (counts.agg(F.sum("n")).first()[0] or 0) / BUCKETS).select("bucket")
+    counted = keys.select("key", bucket).join(F.broadcast(full), "bucket", "left_semi")
+    crowded = materialize(counted.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL_KEY), "golay_crowded")
     few = near_keys(keys.join(crowded, "key", "left_anti"))
     return few.unionByName(keys.select("key", "node").join(crowded, "key").select("key", "node", "n"))
 
