@@ -108,6 +108,32 @@ def test_sorted_tables(spark):
     assert rows(sstable.floor_lookup(probes, index)) == [(10, 10, 0), (19, 10, 0), (5, None, None), (99, 20, 7)]
 
 
+@pytest.mark.parametrize("slab", [1 << 24, 1 << 10])
+def test_segment_filters_without_pairs(spark, monkeypatch, slab):
+    """Every pair of key and segment against brute force: segments of one size, much smaller ones, a null key; no row is made for a pair."""
+    monkeypatch.setattr(segments, "SLAB_BITS", slab)
+    held = [(i, (i * 37 + j) % 900) for i in range(150) for j in range(20)] + [(200, k) for k in range(1000, 1400)] + [(300 + k, k) for k in range(70)]
+    own = spark.createDataFrame([(s, k, f"v{n}", n, "del" if n % 11 == 0 else "put") for n, (s, k) in enumerate(held)], "segment_id long, key long, value string, seq long, op string")
+    wanted = spark.createDataFrame([(None,), (5,), (5,), *((k,) for k in range(0, 3000, 3))], "key long")
+    filters, bits, hashes = segments.segment_filters(own, 0.05)
+    small = filters.where("positions is not null").count()
+    assert (bits, hashes) == sketches.bloom_size(400, 0.05) and 0 < small < filters.count() == 221
+    got = segments.guarded_get(own, wanted, filters, bits, hashes)
+    every = sorted({k for _, k in held} | {r["key"] for r in wanted.where("key is not null").collect()})
+    at = {r["key"]: set(r["positions"]) for r in sketches.with_positions(spark.createDataFrame([(k,) for k in every], "key long"), "key", bits, hashes).collect()}
+    full, last = {}, {}
+    for n, (s, k) in enumerate(held):
+        full.setdefault(s, set()).update(at[k])
+        last[k] = (n, None if n % 11 == 0 else f"v{n}")
+    value = {k: v for k, (_, v) in last.items()}
+    expected = {(k, value.get(k), value.get(k) is not None, 0 if k is None else sum(at[k] <= f for f in full.values())) for k in {r["key"] for r in wanted.collect()}}
+    found = [tuple(r) for r in got.select("key", "value", "found", "n_maybe").collect()]
+    assert len(found) == len(expected) and set(found) == expected
+    big = own.where("segment_id < 150")
+    plan = segments.guarded_get(big, wanted, *segments.segment_filters(big))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "pos#" not in plan  # no join by position
+
+
 def test_bloom(spark):
     assert [sketches.bloom_size(*x) for x in ((10, 0.01), (100, 0.01), (1000, 0.01), (1000, 0.05), (500, 0.05))] == [(96, 7), (959, 7), (9586, 7), (6236, 4), (3118, 4)]
     hello = spark.createDataFrame([("Hello",)], "item string")

@@ -81,8 +81,8 @@ def xxhash32_many(data: np.ndarray, start: np.ndarray, size: np.ndarray, seed: i
     return h ^ h >> u(16)
 
 
-def _bytes(text: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    joined = pa.array(text, pa.string()).cast(pa.large_binary())
+def _bytes(text: pd.Series | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    joined = (text if isinstance(text, pa.Array) else pa.array(text, pa.string())).cast(pa.large_binary())
     size = np.diff(np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1, 8 * joined.offset))
     start = np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1, 8 * joined.offset)[:-1]
     data = np.frombuffer(joined.buffers()[2] or b"", np.uint8) if joined.buffers()[2] is not None else np.empty(0, np.uint8)
@@ -99,6 +99,17 @@ def _arrow_hash(kernel: Callable) -> Callable[[Column], Column]:
     return hashed
 
 
+def murmur3_array(text: pa.Array) -> np.ndarray:
+    """Murmur3 of an Arrow array's texts, for use within a batch; a null is hashed as an empty text."""
+    with np.errstate(over="ignore"):
+        return murmur3_many(*_bytes(text)).astype(np.int64)
+
+
+def xxhash32_array(text: pa.Array) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return xxhash32_many(*_bytes(text)).astype(np.int64)
+
+
 def murmur3(text: Column, seed: int = MURMUR_SEED) -> Column:
     """Murmur3 as an unsigned value in a long; null for null."""
     return _arrow_hash(lambda *a: murmur3_many(*a, seed=seed))(text)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions.hashing import murmur3, xxhash32
+from tidelog.functions.hashing import murmur3, murmur3_array, xxhash32, xxhash32_array
 
 
 def bloom_size(n: int, p: float) -> tuple[int, int]:
@@ -22,6 +24,12 @@ def positions(h1: Column, h2: Column, bits: int, hashes: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: ((h1 + i * h2) % (1 << 32)) % bits)
 
 
+def positions_array(text: pa.Array, bits: int, hashes: int) -> np.ndarray:
+    """``positions`` of an Arrow array's texts, a row a text."""
+    h1, h2 = murmur3_array(text)[:, None], xxhash32_array(text)[:, None]
+    return (h1 + np.arange(hashes) * h2) % (1 << 32) % bits
+
+
 def with_positions(items: DataFrame, item: str, bits: int, hashes: int) -> DataFrame:
     hashed = items.withColumns({"_h1": murmur3(F.col(item).cast("string")), "_h2": xxhash32(F.col(item).cast("string"))})
     return hashed.withColumn("positions", positions(F.col("_h1"), F.col("_h2"), bits, hashes)).drop("_h1", "_h2")

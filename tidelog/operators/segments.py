@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.sketches import bloom_size, with_positions
+from tidelog.functions.sketches import bloom_size, positions_array, with_positions
 from tidelog.operators.log import DELETE, PUT, latest, live, multi_get
 from tidelog.operators.ordered import numbered, offsets, running
-from tidelog.scratch import scratch_path
+from tidelog.scratch import materialize, scratch_path
+
+#: Bits of the filters that a task has unpacked at a time (a byte each), and keys that one holds while filters pass.
+SLAB_BITS, SHARD_KEYS = 1 << 24, 1 << 17
+#: Stands for a null segment in a batch.
+NO_SEGMENT = -(1 << 63)
 
 
 def flush(log: DataFrame, capacity: int) -> DataFrame:
@@ -65,26 +73,125 @@ def read_amplification(segments: DataFrame) -> DataFrame:
     return at.where("kind = 1").select("key", F.col("seen").alias("n_segments"))
 
 
+def _full(positions: int, bits: int) -> bool:
+    """Whether a filter is kept as bits; one of fewer than a position in 64 bits is shorter as a list of them."""
+    return positions * 64 >= bits
+
+
 def segment_filters(segments: DataFrame, rate: float = 0.01) -> tuple[DataFrame, int, int]:
-    """``segment_id, pos``: a Bloom filter of each segment's keys, and their bits and hashes, sized for the largest segment."""
+    """``segment_id, filter, positions``: a Bloom filter of each segment's keys, and their bits and hashes, sized for the largest segment.
+
+    A filter is packed bits, or, for a segment much smaller than the largest, the positions set; the other column is null.
+    The rows of a segment come one after another, so a task holds one filter of a segment at a time, whatever its size.
+    """
     most = segments.groupBy("segment_id").agg(F.count_distinct("key").alias("n")).agg(F.max("n")).first()[0]
     bits, hashes = bloom_size(most or 1, rate)
-    at = with_positions(segments.select("segment_id", "key").distinct(), "key", bits, hashes)
-    return at.select("segment_id", F.explode("positions").alias("pos")).distinct(), bits, hashes
+
+    def made(ids: np.ndarray, held: np.ndarray) -> pa.RecordBatch:
+        full = [_full(int(n), bits) for n in held.sum(axis=1)]
+        packed = np.packbits(held, axis=1, bitorder="little")
+        filters = pa.array([row.tobytes() if f else None for row, f in zip(packed, full, strict=True)], pa.binary())
+        positions = pa.array([None if f else np.flatnonzero(row) for row, f in zip(held, full, strict=True)], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(ids), filters, positions], ["segment_id", "filter", "positions"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carried = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            every, at = b.column("segment_id").fill_null(NO_SEGMENT).to_numpy(), positions_array(b.column("text"), bits, hashes)
+            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            ends, ids = np.append(first[1:], len(every)), every[first]
+            step = max(1, SLAB_BITS // bits)
+            for i in range(0, len(ids), step):
+                part = slice(first[i], ends[min(i + step, len(ids)) - 1])
+                new, sizes = ids[i : i + step], (ends - first)[i : i + step]
+                if last is not None and new[0] == last:
+                    held = np.concatenate([carried, np.zeros((len(new) - 1, bits), bool)])
+                else:
+                    if last is not None:
+                        yield made(np.array([last]), carried)
+                    held = np.zeros((len(new), bits), bool)
+                held[np.repeat(np.arange(len(new)), sizes)[:, None], at[part]] = True
+                if len(new) > 1:
+                    yield made(new[:-1], held[:-1])
+                last, carried = new[-1], held[-1:].copy() if len(new) > 1 else held
+        if last is not None:
+            yield made(np.array([last]), carried)
+
+    rows = segments.where(F.col("key").isNotNull()).select("segment_id", F.col("key").cast("string").alias("text"))
+    filters = rows.repartition("segment_id").sortWithinPartitions("segment_id").mapInArrow(run, "segment_id long, filter binary, positions array<long>")
+    return materialize(filters, "filters"), bits, hashes
+
+
+def _left(keys: DataFrame, filters: DataFrame, bits: int, hashes: int) -> DataFrame:
+    """``key, n``: how many of the packed filters have all of a key's positions.
+
+    Each task holds up to ``SHARD_KEYS`` keys, and all filters pass it in slabs. A slab is turned, so that each position has a bit a
+    filter: a key's filters are the AND of its positions' rows. Pairs of keys and filters are never rows.
+    """
+    total = keys.count()
+    shards = max(1, -(-total // SHARD_KEYS), min(filters.sparkSession.sparkContext.defaultParallelism, total // 1024))
+
+    def turn(packed: pa.Array) -> np.ndarray:
+        slab = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(len(packed), -1)
+        columns = np.unpackbits(slab, axis=1, count=bits, bitorder="little").T
+        return np.ascontiguousarray(np.packbits(np.pad(columns, ((0, 0), (0, -len(packed) % 64))), axis=1)).view(np.uint64)
+
+    def count(turned: np.ndarray, at: np.ndarray, found: np.ndarray) -> None:
+        step = max(1, (1 << 17) // turned.shape[1])
+        for i in range(0, len(at), step):
+            rows = turned[at[i : i + step, 0]]
+            for j in range(1, hashes):
+                rows &= turned[at[i : i + step, j]]
+            found[i : i + step] += np.bitwise_count(rows).sum(axis=1, dtype=np.int64)
+
+    def counted(parts: list) -> Iterator[pa.RecordBatch]:
+        for key, valid, _, found in parts:
+            yield pa.RecordBatch.from_arrays([key, pa.array(np.where(valid, found, 0))], ["key", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, list] = {}  # the keys of one shard, and of the next one in the same batch
+        for b in batches:
+            shard, is_key = b.column("shard").to_numpy(), b.column("filter").is_null().to_numpy(zero_copy_only=False)
+            for s in np.unique(shard):
+                for done in [x for x in own if x < s]:
+                    yield from counted(own.pop(done))
+                mine = b.filter(pa.array((shard == s) & is_key))
+                if mine.num_rows:
+                    at = positions_array(mine.column("text"), bits, hashes)
+                    own.setdefault(s, []).append([mine.column("key"), mine.column("text").is_valid().to_numpy(zero_copy_only=False), at, np.zeros(len(at), np.int64)])
+                packed = b.column("filter").filter(pa.array((shard == s) & ~is_key))
+                step = max(64, SLAB_BITS // bits // 64 * 64)
+                for i in range(0, len(packed), step):
+                    turned = turn(packed[i : i + step])
+                    for _, _, at, found in own.get(s, []):
+                        count(turned, at, found)
+        for parts in own.values():
+            yield from counted(parts)
+
+    kind = dict(keys.dtypes)["key"]
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")
+    held = keys.select("key", F.col("key").cast("string").alias("text"), shard, F.lit(None).cast("binary").alias("filter"))
+    passing = filters.select(F.lit(None).cast(kind).alias("key"), F.lit(None).cast("string").alias("text"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "filter")
+    return held.unionByName(passing).repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("filter").isNotNull()).mapInArrow(run, f"key {kind}, n long")
 
 
 def guarded_get(segments: DataFrame, wanted: DataFrame, filters: DataFrame, bits: int, hashes: int) -> DataFrame:
-    """``key, value, found, n_maybe``: lookups that skip segments whose filter has not all of a key's positions.
+    """``key, value, found, n_maybe``: lookups by ``segment_filters``, with how many segments these leave for a key.
 
-    ``n_maybe`` segments are left for a key; of their rows the last decides, as in a lookup without filters.
+    A filter has all keys of its segment, so all rows of a key are in segments left for it: the last of its rows decides, as in a
+    lookup without filters, and they are joined by key. Positions of small segments' filters, if there are any, are joined.
     """
     keys = wanted.select("key").distinct()
-    at = with_positions(keys, "key", bits, hashes).select("key", F.explode(F.array_distinct("positions")).alias("pos"), F.size(F.array_distinct("positions")).alias("n"))
-    maybe = at.join(filters, "pos").groupBy("key", "n", "segment_id").agg(F.count("*").alias("hits")).where("hits = n").select("key", "segment_id")
-    held = live(segments.join(maybe, ["key", "segment_id"], "left_semi"))
-    counts = maybe.groupBy("key").agg(F.count("*").alias("n_maybe"))
-    joined = keys.join(held, "key", "left").join(counts, "key", "left")
-    return joined.select("key", "value", F.col("seq").isNotNull().alias("found"), F.coalesce("n_maybe", F.lit(0)).cast("long").alias("n_maybe"))
+    counts = _left(keys, filters.where("filter is not null").select("filter"), bits, hashes)
+    small = filters.where("positions is not null").select("segment_id", F.explode("positions").alias("pos"))
+    if not small.isEmpty():
+        at = with_positions(keys, "key", bits, hashes).select("key", F.explode(F.array_distinct("positions")).alias("pos"), F.size(F.array_distinct("positions")).alias("n"))
+        maybe = at.join(small, "pos").groupBy("key", "n", "segment_id").agg(F.count("*").alias("hits")).where("hits = n")
+        counts = counts.unionByName(maybe.groupBy("key").agg(F.count("*").alias("n"))).groupBy("key").agg(F.sum("n").alias("n"))
+    held = live(segments.join(keys, "key", "left_semi"))
+    return counts.join(held, "key", "left").select("key", "value", F.col("seq").isNotNull().alias("found"), F.col("n").alias("n_maybe"))
 
 
 def filtered_get(log: DataFrame, wanted: DataFrame, filter_: DataFrame, bits: int, hashes: int) -> DataFrame:
