@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -143,6 +144,24 @@ def test_bloom(spark):
     assert rows(sketches.counting_count(spark.createDataFrame([("x",), ("z",)], "item string"), "item", counted, 959, 7)) == [("x", 1), ("z", 0)]
 
 
+@pytest.mark.parametrize("count", [1, 3, 9])
+def test_rendezvous_where_keys_are(spark, monkeypatch, count):
+    """Scores against brute force, with keys that come twice, a null key and tied nodes; keys and nodes aren't joined, sorted or ranked as rows."""
+    monkeypatch.setattr(partitioning, "SCORES", 40)
+    named = ["node-2", "node-0", "node-1", "node-0"]
+    keys = [None, 7, 7, *range(100)]
+    nodes = spark.createDataFrame([(n, i) for i, n in enumerate(named)], "node string, ord long").orderBy("node")
+    found = partitioning.rendezvous(spark.createDataFrame([(k,) for k in keys], "key long"), nodes, count)
+    score = lambda k, n: int(hashing.murmur3_array(pa.array([n if k is None else f"{k}:{n}"]))[0])
+    expected = []
+    for key in set(keys):
+        ranked = sorted((-score(key, n), i, n) for i, n in enumerate(named) for _ in range(keys.count(key)))
+        expected += [(key, k + 1, n) for k, (_, _, n) in enumerate(ranked[:count])]
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, expected))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Join", "Sort", "Window"))
+
+
 def test_placement(spark):
     keys = spark.createDataFrame([("1",), ("2",), ("3",), ("Hello",)], "key string")
     three = spark.createDataFrame([(f"node-{i}", i) for i in range(3)], "node string, ord long")

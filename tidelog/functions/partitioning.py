@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions.hashing import murmur3
+from tidelog.functions.hashing import murmur3, murmur3_array
 
 VNODES = 150
+#: Scores of keys and nodes that a task has at a time.
+SCORES = 1 << 18
 
 
 def hash_partition(key: Column, n: int) -> Column:
@@ -79,9 +86,30 @@ def ring_replicas(keys: DataFrame, places: DataFrame, count: int) -> DataFrame:
 
 
 def rendezvous(keys: DataFrame, nodes: DataFrame, count: int = 1) -> DataFrame:
-    """``key, k, node``: the nodes with the highest hashes of ``key:node``; the node added first wins a tie."""
-    both = keys.select("key").join(F.broadcast(nodes.select("node", "ord")), F.lit(True))
-    scored = both.withColumn("score", murmur3(F.concat_ws(":", F.col("key").cast("string"), "node")))
-    if count == 1:
-        return scored.groupBy("key").agg(F.max_by("node", F.struct("score", -F.col("ord"))).alias("node")).select("key", F.lit(1).alias("k"), "node")
-    return scored.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "ord"))).where(F.col("k") <= count).select("key", "k", "node")
+    """``key, k, node``: the nodes with the highest hashes of ``key:node``; the node added first wins a tie.
+
+    The nodes, a few, come to the driver. A key is scored with all of them where it is, in batches, so no pair is a row that is sorted or
+    shuffled. Of a key that comes several times, each of its rows counts: every node has as many places, if ``count`` is above 1.
+    """
+    named = [r["node"] for r in nodes.select("node", "ord").orderBy("ord").collect()]
+    kind = dict(keys.dtypes)["key"]
+    step = max(1, SCORES // max(1, len(named)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, step):
+                part = b.slice(i, step)
+                texts = (pc.binary_join_element_wise(part.column("text"), pa.scalar(n, part.column("text").type), ":", null_handling="skip") for n in named)
+                scores = np.stack([murmur3_array(t) for t in texts], axis=1)
+                best = np.argsort(-scores, axis=1, kind="stable")
+                times = part.column("times").to_numpy() if count > 1 else np.ones(part.num_rows, np.int64)
+                for k in range(min(count, len(named) * int(times.max()))):
+                    rank = k // times
+                    on = np.flatnonzero(rank < len(named))
+                    node = pa.array(named, pa.string()).take(pa.array(best[on, rank[on]]))
+                    yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(on)), pa.array(np.full(len(on), k + 1, np.int32)), node], ["key", "k", "node"])
+
+    if not named:
+        return keys.sparkSession.createDataFrame([], f"key {kind}, k int, node string")
+    each = keys.select("key").repartition("key").groupBy("key").agg(F.count("*").alias("times"))  # shuffled first: few keys come twice
+    return each.select("key", F.col("key").cast("string").alias("text"), "times").mapInArrow(run, f"key {kind}, k int, node string")
